@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from thornbill.llm import dedup
+from thornbill.llm import dedup, spans, tokens
 
-_MODULES = (dedup,)
+_MODULES = (tokens, dedup, spans)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
