@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from thornbill.llm import dedup, spans, tokens
+from thornbill.llm import dedup, lookalike, spans, tokens
 
-_MODULES = (tokens, dedup, spans)
+_MODULES = (tokens, dedup, lookalike, spans)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
