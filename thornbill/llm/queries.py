@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from thornbill.llm import dedup, leakage, lookalike, spans, tokens
+from thornbill.llm import dedup, leakage, lookalike, pieces, spans, tokens
 
-_MODULES = (tokens, dedup, lookalike, leakage, spans)
+_MODULES = (pieces, tokens, dedup, lookalike, leakage, spans)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
