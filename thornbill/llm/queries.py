@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from thornbill.llm import dedup, leakage, lookalike, pieces, sentences, spans, tokens
+from thornbill.llm import dedup, leakage, lookalike, pairs, pieces, sentences, spans, tokens
 
-_MODULES = (sentences, pieces, tokens, dedup, lookalike, leakage, spans)
+_MODULES = (sentences, pieces, pairs, dedup, lookalike, tokens, leakage, spans)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
