@@ -1,0 +1,100 @@
+"""The chunk strategies, each a table generator over passages (``passage_id, text, lang, questions``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from thornbill import config as C
+from thornbill.functions import text as X
+from thornbill.functions import vectors as V
+
+COLUMNS = ["chunk_id", "passage_id", "text", "strategy", "lang", "position", "char_span", "parent_id", "answers_passage"]
+
+
+def chunk_id(passage: Column, strategy: str, index: Column) -> Column:
+    """16 hexadecimal digits of passage, strategy and position."""
+    return F.substring(F.sha2(F.concat_ws(":", passage, F.lit(strategy), index.cast("string")), 256), 1, 16)
+
+
+def _chunks(df: DataFrame, strategy: str, parent: Column | None = None, answers: Column | None = None) -> DataFrame:
+    p, i = F.col("passage_id"), F.col("position")
+    null = F.lit(None).cast("string")
+    return df.select(chunk_id(p, strategy, i).alias("chunk_id"), "passage_id", "text", F.lit(strategy).alias("strategy"), "lang", F.col("position").cast("int"), F.struct(F.col("a").cast("int").alias("start"), F.col("b").cast("int").alias("end")).alias("char_span"), (null if parent is None else parent).alias("parent_id"), (null if answers is None else answers).alias("answers_passage"))
+
+
+def sentence_table(passages: DataFrame) -> DataFrame:
+    """``passage_id, lang, pos, sent``; passages with a blank or null text have no sentence."""
+    return passages.select("passage_id", "lang", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sent"))
+
+
+def running_spans(text: Column, sents: Column) -> Column:
+    """``start, end`` of each sentence: looked for from behind the one before; where it isn't found, it starts right there."""
+
+    def step(acc: Column, s: Column) -> Column:
+        at = F.call_function("locate", s, text, acc["cursor"] + 1)
+        start = F.when(at > 0, at - 1).otherwise(acc["cursor"])
+        end = start + F.length(s)
+        return F.struct(end.alias("cursor"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
+
+    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return F.aggregate(sents, zero, step)["spans"]
+
+
+def semantic(passages: DataFrame, embedder: V.Embedder | None = None, tau: float = C.SEMANTIC_TAU, most: int = C.SEMANTIC_MAX) -> DataFrame:
+    """C1: neighbouring sentences of a passage join while their cosine is at least ``tau`` and the group has fewer than
+    ``most``. The position is the group's number; the span runs from the first to the last sentence, in the raw text."""
+    s = sentence_table(passages)
+    s = V.embed(s, "sent", embedder).withColumn("before", F.lag("vec").over(W.partitionBy("passage_id").orderBy("pos")))
+    s = s.withColumn("sim", F.round(V.cosine(F.col("before"), F.col("vec")), 9)).drop("vec", "before")
+    p = s.groupBy("passage_id", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", "sent", "sim"))).alias("s"))
+    p = p.join(passages.select("passage_id", F.col("text").alias("raw")), "passage_id")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (x["pos"] == 0) | (x["sim"] < tau) | (acc["n"] >= most)
+        g = acc["g"] + F.when(new, 1).otherwise(0)
+        return F.struct(g.alias("g"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(g)).alias("out"))
+
+    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    p = p.withColumn("groups", F.aggregate("s", zero, step)["out"]).withColumn("spans", running_spans(F.col("raw"), F.col("s.sent")))
+    rows = p.select("passage_id", "lang", F.explode(F.arrays_zip(F.col("groups").alias("g"), F.col("s.sent").alias("sent"), F.col("spans").alias("span"), F.col("s.pos").alias("pos"))).alias("r"))
+    rows = rows.select("passage_id", "lang", "r.*").groupBy("passage_id", "lang", F.col("g").alias("position"))
+    rows = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sent"))), lambda x: x["sent"]), " ").alias("text"), F.min_by("span.start", "pos").alias("a"), F.max_by("span.end", "pos").alias("b"))
+    return _chunks(rows, "C1")
+
+
+def sliding(passages: DataFrame, tokenize=X.words, window: int = C.WINDOW, overlap: int = C.OVERLAP) -> DataFrame:
+    """C2: windows of ``window`` tokens, ``overlap`` shared; the last one reaches the end. ``tokenize`` is a column function."""
+    step = window - overlap
+    t = passages.select("passage_id", "lang", tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("t") - window) / F.lit(float(step)))).cast("int") * step
+    t = t.select("passage_id", "lang", "t", F.posexplode(F.sequence(F.lit(0), last, F.lit(step))).alias("position", "from"))
+    t = t.withColumn("text", F.array_join(F.slice("t", F.col("from") + 1, F.lit(window)), " ")).where("text <> ''").withColumn("a", F.lit(0)).withColumn("b", F.lit(0))
+    return _chunks(t, "C2")
+
+
+def parents(passages: DataFrame) -> DataFrame:
+    """C3P: the whole cleaned text of every passage that isn't blank."""
+    p = passages.select("passage_id", "lang", X.clean(F.col("text")).alias("text"), F.lit(0).alias("position")).where("text <> ''")
+    return _chunks(p.withColumn("a", F.lit(0)).withColumn("b", F.length("text")), "C3P")
+
+
+def children(passages: DataFrame, sentences: int = C.CHILD_SENTENCES) -> DataFrame:
+    """C3: groups of ``sentences`` sentences, with the parent's id; spans are in the cleaned text."""
+    s = sentence_table(passages)
+    before = F.coalesce(F.sum(F.length("sent") + 1).over(W.partitionBy("passage_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("a", before).withColumn("b", before + F.length("sent")).withColumn("position", F.floor(F.col("pos") / sentences).cast("int"))
+    g = s.groupBy("passage_id", "lang", "position").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sent"))), lambda x: x["sent"]), " ").alias("text"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return _chunks(g, "C3", parent=chunk_id(F.col("passage_id"), "C3P", F.lit(0)))
+
+
+def questions(passages: DataFrame) -> DataFrame:
+    """C5: one chunk a question that isn't blank; the position is the question's place in the list."""
+    q = passages.select("passage_id", "lang", F.posexplode("questions").alias("position", "q")).withColumn("text", X.clean(F.col("q"))).where("text <> ''")
+    return _chunks(q.withColumn("a", F.lit(0)).withColumn("b", F.lit(0)), "C5", answers=F.col("passage_id"))
+
+
+def build_all(passages: DataFrame, embedder: V.Embedder | None = None) -> DataFrame:
+    """All indexed strategies in one relation; parents are apart, in :func:`parents`."""
+    return semantic(passages, embedder).unionByName(sliding(passages)).unionByName(children(passages)).unionByName(questions(passages))
