@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from thornbill.config import DIMENSIONS
 
@@ -91,6 +92,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, qid: str = "qid", qvec:
     rows = rows.where(F.col(vec).isNotNull()).select(F.col(rid), F.col(vec).alias("_vec"), *([F.col(by)] if by else [F.lit("").alias("_by")]))
     keys = {f.name: f.dataType.simpleString() for f in (queries.schema[qid], rows.schema[rid], rows.schema[by or "_by"])}
     names = [qid, rid, by or "_by", "score"]
+    qtype = to_arrow_type(queries.schema[qid].dataType)
     parts: list[DataFrame] = []
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
@@ -118,7 +120,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, qid: str = "qid", qvec:
                         at = at[np.argsort(row_ids[at], kind="stable")]
                         best = np.argsort(-order[at], axis=0, kind="stable")[:k]
                         rows_at, cols = at[best].T.ravel(), np.repeat(np.arange(len(ids)), len(best))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[cols]), pa.array(row_ids[rows_at].tolist(), part.schema.types[0]), pa.array([g] * len(cols), part.schema.types[2]), pa.array(score[rows_at, cols])], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[cols].tolist(), qtype), pa.array(row_ids[rows_at].tolist(), part.schema.types[0]), pa.array([g] * len(cols), part.schema.types[2]), pa.array(score[rows_at, cols])], names=names)
 
         parts.append(rows.mapInArrow(run, f"`{qid}` {keys[qid]}, `{rid}` {keys[rid]}, `{names[2]}` {keys[names[2]]}, score double"))
     if not parts:

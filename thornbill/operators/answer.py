@@ -14,6 +14,7 @@ from thornbill.functions import text as X
 from thornbill.functions import vectors as V
 from thornbill.operators import domain
 from thornbill.operators.retrieval import Index, retrieve
+from thornbill.tables import durable
 
 
 def candidates(hits: DataFrame, most: int = C.MAX_CANDIDATES) -> DataFrame:
@@ -72,7 +73,7 @@ def ask(asks: DataFrame, index: Index, centroids: DataFrame | None = None, optio
         open_ = q.where("guard is null and off is null")
     else:
         q = q.withColumn("off", F.lit(None).cast("boolean"))
-    hits = retrieve(open_, index, options)
+    hits = durable(retrieve(open_, index, options))  # a few rows a question, used three times
     top = hits.groupBy("qid").agg(F.round(F.max("dense_score"), 9).alias("top_score"))
     r = q.join(top, "qid", "left").join(extract(open_, hits, index.embedder), "qid", "left")
     weak = F.coalesce(F.col("top_score") < floors.retrieval, F.lit(True))

@@ -47,7 +47,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def _collected(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The centroids, k rows by construction."""
     rows = centroids.orderBy("cid").collect()
-    return np.array([r["cid"] for r in rows], np.int32), np.array([r["vec"] for r in rows], np.float64)
+    return np.array([r["cid"] for r in rows], np.int32), np.array([r["vec"] for r in rows], np.float64).reshape(len(rows), -1 if rows else 1)
 
 
 def step(rows: DataFrame, centroids: DataFrame) -> DataFrame:

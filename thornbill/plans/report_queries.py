@@ -160,14 +160,14 @@ def _sweep(rel: str, signal: str, taus: list[float]) -> str:
 
 def _arm(name: str, strategies: list[str] | None, lexical: bool) -> str:
     only = "true" if strategies is None else "strategy in (" + ", ".join(f"'{s}'" for s in strategies) + ")"
-    lex = f"(select qid, chunk_id, s, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 r from w6 where {only} {'and r0 < 40' if strategies is None else ''} qualify r < 40)"
+    lex = f"(select qid, chunk_id, s, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 rl from w6 where {only} {'and r0 < 40' if strategies is None else ''} qualify rl < 40)"
     if not lexical:
-        lex = "(select qid, chunk_id, s, 0::bigint r from w6 where false)"
+        lex = "(select qid, chunk_id, s, 0::bigint rl from w6 where false)"
     return f"""select '{name}' arm, count(*) n, round(avg(case when r <= 5 then 1.0::double else 0.0 end), 6) recall_at_5, round(avg(case when r <= 10 then 1.0::double / r else 0.0 end), 6) mrr_at_10 from (
 select q0.qid, min(rank) filter (where z.passage_id = q0.gold and rank <= 10) r from q q0 left join (
  select *, row_number() over (partition by qid order by f desc, o) rank from (
   select fz.qid, i.passage_id, case when i.lang = q.lang then f * (1 + 0.15::double) else f end f, coalesce(dr, 1000000 + lr) o, row_number() over (partition by fz.qid, i.passage_id order by case when i.lang = q.lang then f * (1 + 0.15::double) else f end desc, coalesce(dr, 1000000 + lr)) n
-  from (select qid, chunk_id, a.r dr, b.r lr, coalesce(1.0::double / (61 + a.r), 0.0) + coalesce(1.0::double / (61 + b.r), 0.0) f
+  from (select qid, chunk_id, a.r dr, b.rl lr, coalesce(1.0::double / (61 + a.r), 0.0) + coalesce(1.0::double / (61 + b.rl), 0.0) f
    from (select qid, chunk_id, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 r from sims where {only} qualify r < 40) a full join {lex} b using (qid, chunk_id)) fz join i using (chunk_id) join q on q.qid = fz.qid qualify n = 1)) z on z.qid = q0.qid group by q0.qid)"""
 
 
