@@ -169,8 +169,8 @@ def seeded_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     letter, mark or digit have no pairs. Documents are scanned twice for each block of items and never shuffled.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc", canonical(F.col("text")).alias("text")).where("text <> ''")
-    items = items.select("item", canonical(F.col("text")).alias("text")).where("text <> ''")
+    docs = docs.select(F.col("doc").cast("long"), canonical(F.col("text")).alias("text")).where("text <> ''")
+    items = items.select(F.col("item").cast("long"), canonical(F.col("text")).alias("text")).where("text <> ''")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = math.ceil(total / BLOCK_CHARS)
     out = None

@@ -187,7 +187,7 @@ def _examined(pairs: DataFrame) -> DataFrame:
             langs = pa.array([base_language(x) for x in batch.column(3).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), langs, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, types))], names=["id", "lang", *names])
 
-    return pairs.select("id", "query", "answer", "lang").mapInArrow(run, _EXAMINED)
+    return pairs.select(F.col("id").cast("long"), "query", "answer", "lang").mapInArrow(run, _EXAMINED)
 
 
 def shortened(masks: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def shared_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     if length < 2:
         raise ValueError("length must be at least 2")
-    docs = docs.where(F.length("text") >= length)
+    docs = docs.select(F.col("doc").cast("long"), "text").where(F.length("text") >= length)
     segments = durable(_segments(docs, length))
     wholes = segments.groupBy("mark", "whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     marks = wholes.groupBy("mark").agg(F.min("low").alias("l"), F.max("high").alias("h"), (F.min("whole") != F.max("whole")).alias("mixed")).where("l <> h")
