@@ -102,7 +102,7 @@ def other_language(query: str, answer: str, lang: str) -> bool:
     text = _PARENTHESES.sub(" ", former().form(answer))
     own = [w for w in _WORDS.findall(text.lower()) if w not in words]
     body = "".join(own)
-    if len(body) < 2 or not lang:
+    if len(body) < 3 or not lang:  # the unit of a bare value is in no language
         return False
     counts = {k: len(p.findall(body)) for k, p in _SCRIPT.items()}
     total = sum(counts.values())
