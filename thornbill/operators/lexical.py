@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from thornbill import config as C
 from thornbill.functions.text import tokens
+from thornbill.tables import durable
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -28,19 +29,20 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return t.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def idf(posting: DataFrame, stats: DataFrame) -> DataFrame:
-    """``term, df, idf``."""
-    d = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
-    return d.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+def idf(posting: DataFrame, n: int) -> DataFrame:
+    """``term, df, idf`` of postings of ``n`` chunks."""
+    d = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return d.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def score(queries: DataFrame, chunks: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
     """``qid, chunk_id, score`` of every query and chunk that share a term; repeated query terms count repeatedly."""
     q = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("m"))
     stats = corpus_stats(chunks)
-    p = postings(chunks, q)
-    w = p.join(idf(p, stats), "term").crossJoin(F.broadcast(stats.select(F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))))
-    w = w.withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    p = durable(postings(chunks, q))  # of the queries' terms only; read for frequencies and again for weights
+    n, avgdl = stats.first()  # one row
+    w = p.join(idf(p, n), "term")
+    w = w.withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))))
     return q.join(w.select("term", "chunk_id", "w"), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("m") * F.col("w")).alias("score"))
 
 

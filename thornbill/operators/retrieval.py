@@ -12,6 +12,7 @@ from thornbill import config as C
 from thornbill.config import RetrieveOptions
 from thornbill.functions import vectors as V
 from thornbill.operators import chunking, lexical
+from thornbill.tables import durable
 
 NO_RANK = 1_000_000
 
@@ -89,13 +90,14 @@ def retrieve(queries: DataFrame, index: Index, options: RetrieveOptions = Retrie
     """``qid, rank, chunk_id, passage_id, text, strategy, lang, score, dense_score, dense_rank, lexical_rank``.
 
     ``queries`` has ``qid, query, lang``. A query that shares no term and has no vector still gets the dense list in order
-    of ids; over an empty index there are no hits.
+    of ids; over an empty index there are no hits. The hits, a few rows a query, are written once, as answering reads them
+    several times.
     """
     dense = dense_search(queries, index, options.pool, options.strategies)
     words = lexical.search(queries, index.chunks, options.pool, options.strategies) if options.use_lexical else None
     hits = boost(fuse(dense, words), queries, index.chunks, options.lang_boost)
     hits = resolve(first_of_passage(hits, options.top_k), index.parents)
-    return hits.select("qid", "rank", "chunk_id", "passage_id", "text", "strategy", "lang", F.col("fused").alias("score"), "dense_score", "dense_rank", "lexical_rank")
+    return durable(hits.select("qid", "rank", "chunk_id", "passage_id", "text", "strategy", "lang", F.col("fused").alias("score"), "dense_score", "dense_rank", "lexical_rank"))
 
 
 def contexts(df: DataFrame, texts: str = "texts") -> DataFrame:

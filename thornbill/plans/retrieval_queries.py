@@ -32,7 +32,7 @@ def bm25_doc_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     c = _indexed(spark, d)
-    return lexical.idf(lexical.postings(c), lexical.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf(lexical.postings(c), c.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
