@@ -24,14 +24,14 @@ from thornbill.tables import durable, table
 MISSING = frozenset("null none nil nan na n/a undefined missing unknown empty blank tbd nodata novalue noanswer notavailable notapplicable undef void".split())
 # Phrases that decline or say that one can't answer, by language.
 REFUSALS = {
-    "en": r"\b(?:can\s?not|can['’]?t|could not|couldn['’]?t|unable to|not able to|won['’]?t|will not|must decline to|decline to|refuse to|have to decline)\b.{0,40}\b(?:answer|help|assist|respond|reply|provide|comply|say|tell|discuss|share)|\b(?:do not|don['’]?t|does not|doesn['’]?t|did not)\b.{0,20}\b(?:know|mention|say|contain|cover|include|state|have (?:an|the|any|enough))\b|\bno (?:answer|information)\b.{0,30}\b(?:found|given|available)|\b(?:was|were|be|is) not found\b|\btoo little to (?:reply|answer|say)|\boutside of what i\b|\b(?:sorry|apologies|afraid)\b.{0,30}\b(?:unable|not|no|cannot|can['’]?t|decline|outside|little)\b|\bnot (?:sure|certain)\b|\bno idea\b|\bas an ai\b",
-    "hi": r"उत्तर (?:नहीं|देने में असमर्थ)|जानकारी नहीं|सहायता करना संभव नहीं|नहीं दे सक|नहीं बता सक|नहीं मिला|पता नहीं|मालूम नहीं|असमर्थ",
-    "bn": r"উত্তর দিতে পার(?:ছি|ব) না|উত্তর পাওয়া যায়নি|জানা নেই|জানি না|সাহায্য করতে পার(?:ছি|ব) না|বলতে পার(?:ছি|ব) না|সম্ভব নয়|অক্ষম",
-    "ta": r"பதிலளிக்க (?:முடியாது|இயலாது|முடியவில்லை)|தெரியாது|விடை கிடைக்கவில்லை|உதவ (?:முடியாது|இயலாது)|கூற (?:முடியாது|இயலாது)|தெரியவில்லை",
-    "te": r"జవాబు (?:ఇవ్వలేను|దొరకలేదు|చెప్పలేను|తెలియదు|లేదు)|నాకు తెలియదు|సహాయం చేయలేను|సమాధానం (?:ఇవ్వలేను|దొరకలేదు|లేదు)|చెప్పలేను",
-    "ur": r"جواب نہیں|معلوم نہیں|مدد نہیں کر|نہیں دے سک|نہیں بتا سک|نہیں جانت|قاصر|ممکن نہیں",
-    "ja": r"分かりかね|わかりかね|分かりません|わかりません|答えられません|お?答え(?:する(?:こと)?が)?できません|答えかね|見つかりません|存じません|お手伝いできません|お応えできません",
-    "zh": r"无法(?:回答|提供|作答|帮助|协助|得知)|不能(?:回答|提供)|没有(?:找到|给出|提到)|不清楚|不知道|找不到(?:答案)?|未(?:找到|提及)|帮不了|不便回答",
+    "en": r"\b(?:can\s?not|can['’]?t|could not|couldn['’]?t|unable to|not able to|won['’]?t|will not|must decline to|decline to|refuse to|have to decline)\b.{0,40}\b(?:answer|help|assist|respond|reply|provide|comply|say|tell|discuss|share)|\b(?:do not|don['’]?t|does not|doesn['’]?t|did not)\b.{0,20}\b(?:know|mention|say|contain|cover|include|state|have (?:an|the|any|enough))\b|\bno (?:answer|information)\b.{0,30}\b(?:found|given|available)|\b(?:was|were|be|is) not found\b|\btoo little to (?:reply|answer|say)|\boutside of what i\b|\b(?:sorry|apologies|afraid)\b.{0,30}\b(?:unable|not|no|cannot|can['’]?t|decline|outside|little)\b|\bnot (?:sure|certain)\b|\bno idea\b|\bas an ai\b|\b(?:would|could) (?:only |just )?be (?:a guess|guessing|speculati)|\bnothing (?:on|about|regarding|relevant)\b.{0,60}\b(?:turned up|found|appears?|here|given|available)\b|\brephrase (?:your|the) question|\btry (?:another|a different) (?:query|question)|\b(?:sorry|apologies)\s*[,;:!]|\bi['’]?m afraid\b|\bregret(?:fully)?\b",
+    "hi": r"उत्तर (?:नहीं|देने में असमर्थ)|जानकारी नहीं|सहायता करना संभव नहीं|नहीं दे सक|नहीं बता सक|नहीं मिला|पता नहीं|मालूम नहीं|असमर्थ|माफ़ (?:कीजिए|करें)|क्षमा (?:करें|कीजिए)|खेद है|प्रश्न बदलकर",
+    "bn": r"উত্তর দিতে পার(?:ছি|ব) না|উত্তর পাওয়া যায়নি|জানা নেই|জানি না|সাহায্য করতে পার(?:ছি|ব) না|বলতে পার(?:ছি|ব) না|সম্ভব নয়|অক্ষম|দুঃখিত|ক্ষমা করবেন|অন্য প্রশ্ন করুন",
+    "ta": r"பதிலளிக்க (?:முடியாது|இயலாது|முடியவில்லை)|தெரியாது|விடை கிடைக்கவில்லை|உதவ (?:முடியாது|இயலாது)|கூற (?:முடியாது|இயலாது)|தெரியவில்லை|மன்னிக்கவும்|வருந்துகிறேன்|வேறு கேள்வி",
+    "te": r"జవాబు (?:ఇవ్వలేను|దొరకలేదు|చెప్పలేను|తెలియదు|లేదు)|నాకు తెలియదు|సహాయం చేయలేను|సమాధానం (?:ఇవ్వలేను|దొరకలేదు|లేదు)|చెప్పలేను|క్షమించండి|మరో ప్రశ్న",
+    "ur": r"جواب نہیں|معلوم نہیں|مدد نہیں کر|نہیں دے سک|نہیں بتا سک|نہیں جانت|قاصر|ممکن نہیں|معذرت|افسوس ہے|کوئی اور سوال",
+    "ja": r"分かりかね|わかりかね|分かりません|わかりません|答えられません|お?答え(?:する(?:こと)?が)?できません|答えかね|見つかりません|存じません|お手伝いできません|お応えできません|申し訳|残念ながら|別の質問",
+    "zh": r"无法(?:回答|提供|作答|帮助|协助|得知)|不能(?:回答|提供)|没有(?:找到|给出|提到)|不清楚|不知道|找不到(?:答案)?|未(?:找到|提及)|帮不了|不便回答|抱歉|很遗憾|对不起|换一个问题",
     "th": r"ไม่ทราบ|ไม่สามารถ|ไม่พบคำตอบ|ไม่รู้|ตอบไม่ได้|ขออภัย.*ไม่",
 }
 # Frequent function words that tell languages of Latin script apart.
@@ -129,7 +129,8 @@ def mask(query: str, text: str) -> str:
 
     def one(m: regex.Match) -> str:
         w = m.group()
-        return "¤" if w in words and len(w) > 1 else w
+        begun = m.end() == len(low) and len(w) > 2 and any(x.startswith(w) for x in words)
+        return "¤" if len(w) > 1 and (w in words or begun) else w
 
     return regex.sub(r"¤(?: ¤)*", "¤", _WORDS.sub(one, low))
 
