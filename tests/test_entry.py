@@ -31,7 +31,7 @@ def test_core_stands_alone(monkeypatch):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["qid", "chunk_id", "rank", "score"]
+    assert entry.entry(spark).columns[:4] == ["qid", "rank", "chunk_id", "passage_id"]
 
 
 from thornbill.plans.catalogue import ORACLES, QUERIES  # noqa: E402

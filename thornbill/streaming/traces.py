@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from thornbill import config as C
 from thornbill.tables import ensure_checkpoint_dir, table
 
 
@@ -14,8 +19,6 @@ def read_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) ->
     """The traces as a file stream, a few files at a time."""
     schema = table(spark, sf_dir, "traces").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet")
-    from pathlib import Path
-
     path = Path(f"{sf_dir}/traces.parquet")
     return source.parquet(str(path) if path.is_dir() else str(path.parent / "traces.parque[t]"))
 
@@ -39,3 +42,26 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = windows(read_stream(spark, sf_dir)).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     return spark.read.parquet(f"{base}/result").select("window_start", "path", "n", F.round("total", 3).alias("total"))
+
+
+def last_entries(traces: DataFrame, n: int = C.RING, key: str = "path") -> DataFrame:
+    """``key, trace_id, asked_at, total_ms``: of a stream, after every trigger, the ``n`` latest entries of each key that got
+    new ones (ties to the greater trace_id). An entry delivered twice counts once. The state of a key never exceeds ``n``
+    entries; entries without a key or time are left out."""
+    out = f"`{key}` string, trace_id string, asked_at timestamp, total_ms double"
+    held = "trace_id array<string>, asked_at array<timestamp>, total_ms array<double>"
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"trace_id": [], "asked_at": [], "total_ms": []})
+        if state.exists:
+            ids, times, ms = state.get
+            kept = pd.DataFrame({"trace_id": list(ids), "asked_at": pd.to_datetime(list(times)), "total_ms": list(ms)})
+        for batch in batches:
+            new = batch[["trace_id", "asked_at", "total_ms"]]
+            kept = new if kept.empty else pd.concat([kept, new])
+            kept = kept.drop_duplicates("trace_id").sort_values(["asked_at", "trace_id"], ascending=False).head(n)
+        state.update((kept["trace_id"].tolist(), [t.to_pydatetime() for t in kept["asked_at"]], kept["total_ms"].tolist()))
+        yield kept.assign(**{key: group[0]})[[key, "trace_id", "asked_at", "total_ms"]]
+
+    rows = traces.where(F.col(key).isNotNull() & F.col("asked_at").isNotNull()).select(key, "trace_id", "asked_at", "total_ms")
+    return rows.groupBy(key).applyInPandasWithState(update, out, held, "update", GroupStateTimeout.NoTimeout)
