@@ -10,6 +10,7 @@ from thornbill.functions import text as X
 from thornbill.operators import answer, chunking, evaluate, retrieval
 from thornbill.operators import traces as T
 from thornbill.plans import sql as Q
+from thornbill.plans import text_queries
 from thornbill.plans.retrieval_queries import _EXTRACT, _HITS, _asked, _index
 from thornbill.plans.text_queries import _contentless, _unsafe
 from thornbill.sources import corpus, sinks
@@ -171,6 +172,7 @@ select q0.qid, min(rank) filter (where z.passage_id = q0.gold and rank <= 10) r
    from (select qid, chunk_id, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 r from sims where {only} qualify r < 40) a full join {lex} b using (qid, chunk_id)) fz join i using (chunk_id) join q on q.qid = fz.qid qualify n = 1)) z on z.qid = q0.qid group by q0.qid)"""
 
 
+ORACLES_COUNTS = text_queries.ORACLES["chunk_union_counts"].split("\nselect strategy")[0] + " select name, side, n from (select 'chunks' name, count(*) n from r union all select 'parents', count(*) from p union all select 'sentences', count(*) from s), (select unnest(['saved', 'loaded']) side)"
 ORACLES = {
     "trace_percentiles": f"with {_T} select {_PCT} from t where total_ms is not null having count(*) > 0",
     "trace_percentiles_by_group": f"with {_T} select {Q.lang('lang')} lang, path, {_PCT} from t where total_ms is not null group by 1, 2",
@@ -192,6 +194,7 @@ ORACLES = {
     "harvest_eval_rows": f"with {_SRC} select query_id, query, tag lang, query_id || '-' || tag || '-g' gold_passage_id, answer gold_answer from h where held",
     "anti_seen_ids": "select query_id, min_by(eval_id, (lang, eval_id)) eval_id, min(lang) lang from eval_set group by query_id",
     "adapter_contexts": f"with {Q.P}, {Q.Q}, hits as (select q.qid, 2 as rank, 'ctx-1' passage_id, p.text from q join p on p.passage_id = q.gold), {Q.hashed('qv', 'q', 'qid', 'query')}, {_EXTRACT} select qid, answer, round(confidence, 6) confidence, passage_id from an",
+    "snapshot_roundtrip": ORACLES_COUNTS,
     "stream_trace_windows": "with a as (select time_bucket(interval 1 day, asked_at) start, path, total_ms from traces where asked_at is not null) select start as window_start, path, count(*) n, round(sum(coalesce(total_ms, 0)), 3) total from a group by all",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "snapshot_roundtrip")}
+QUERIES = {k: globals()[k] for k in ORACLES}

@@ -17,7 +17,8 @@ from thornbill.tables import table
 
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.chunk_table(spark, d).where("strategy <> 'C3P'")
+    """The delivered chunks that are indexed, once each; read for statistics and again for postings."""
+    return corpus.chunk_table(spark, d).where("strategy <> 'C3P'").select("chunk_id", "text", "strategy").persist()
 
 
 def _index(spark: SparkSession, d: str) -> retrieval.Index:
