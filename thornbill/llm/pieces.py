@@ -68,17 +68,18 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     places, costs = _candidates(text, limit, overlap)
     pieces = -(-(n - overlap) // (limit - overlap))
     even = (n + (pieces - 1) * overlap) / pieces
+    uneven = IMBALANCE * ((np.arange(limit + 1) - even) / even) ** 2  # by the length of a piece
+    lows = np.searchsorted(places, places - limit + overlap)
     total = np.full(len(places), np.inf)
     before = np.full(len(places), -1)
-    for j, e in enumerate(places):
-        if e <= limit:
-            total[j] = costs[j] + IMBALANCE * ((e - even) / even) ** 2
-        low = np.searchsorted(places[:j], e - limit + overlap)
+    for j, (e, low) in enumerate(zip(places.tolist(), lows.tolist())):
+        best = uneven[e] if e <= limit else np.inf
         if low < j:
-            through = total[low:j] + IMBALANCE * ((e - places[low:j] + overlap - even) / even) ** 2
-            k = int(np.argmin(through))
-            if through[k] + costs[j] < total[j]:
-                total[j], before[j] = through[k] + costs[j], low + k
+            through = total[low:j] + uneven[e + overlap - places[low:j]]
+            k = int(through.argmin())
+            if through[k] < best:
+                best, before[j] = through[k], low + k
+        total[j] = best + costs[j]
     names = {v: k for k, v in PENALTY.items()}
     out, j = [], len(places) - 1
     while j >= 0:
