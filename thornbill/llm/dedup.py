@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thornbill.tables import WS, canonical, is_blank, table
+from thornbill.tables import WS, canonical, durable, is_blank, table
 
 
 def passage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def duplicates(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``first, copy``: one row for each record that is a copy of one with a smaller key. The groups are counted
     with map-side combining; the join back has one row a group on one side, so a hot group is split by the
     adaptive skew join, never gathered."""
-    coded = encode(records, key, fields)
+    coded = durable(encode(records, key, fields))  # compact tuples, read for the groups and again for their members
     heads = coded.groupBy("codes").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return coded.join(heads, "codes").where(F.col(key) != F.col("first")).select("first", F.col(key).alias("copy"))
 
