@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thornbill import config as C
-from thornbill.functions.text import tokens
+from thornbill.functions.text import WORD, tokens
 from thornbill.tables import durable
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """``chunk_id, dl``: tokens of every chunk, none included."""
-    return chunks.select("chunk_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("dl"))
+    return chunks.select("chunk_id", F.coalesce(F.regexp_count("text", F.lit(f"{WORD}+")), F.lit(0)).alias("dl"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
