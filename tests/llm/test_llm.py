@@ -324,6 +324,18 @@ def test_spans_against_brute_force(spark, seed):
     assert got == brute_spans(docs, 20)
 
 
+def test_spans_repeated_in_other_surroundings(spark):
+    r = random.Random(5)
+    docs = []
+    for i in range(0, 60, 2):
+        passage, first, second = ("".join(r.choices("abcdefgh", k=k)) for k in (26, 60, 60))
+        copied = first[:30] + passage + first[30:]
+        docs += [(i, copied + second[:30] + passage + second[30:]), (i + 1, copied)]
+    df = spark.createDataFrame(docs, "doc long, text string")
+    got = sorted((x.doc, x.span_start, x.span_end) for x in spans.shared_spans(df, 20).collect())
+    assert got == brute_spans(docs, 20)
+
+
 def test_spans_in_blocks_and_empty(spark, monkeypatch):
     text = "".join(random.Random(9).choices("abcdef", k=700))
     whole = {(int(m), int(w)) for m, w, *_ in zip(*spans.segments_of(text, 40))}

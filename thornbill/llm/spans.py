@@ -71,7 +71,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """``doc, mark, hash, start`` of every window of the segments listed in the column ``parts`` of ``docs``."""
+    """``doc, high, mark, hash, start`` of every window of the segments listed in the column ``parts`` of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,9 +82,10 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
                     counts = np.array([p["last"] - p["first"] + 1 for p in part])
                     start = np.concatenate([np.arange(p["first"], p["last"] + 1) for p in part])
                     mark = np.repeat(np.array([p["mark"] for p in part], np.int64), counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["doc"], np.int64)), pa.array(mark), pa.array(rolling.of(start, start + length).view(np.int64)), pa.array(start.astype(np.int32))], names=["doc", "mark", "hash", "start"])
+                    high = np.repeat(np.array([p["high"] for p in part], np.int64), counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["doc"], np.int64)), pa.array(high), pa.array(mark), pa.array(rolling.of(start, start + length).view(np.int64)), pa.array(start.astype(np.int32))], names=["doc", "high", "mark", "hash", "start"])
 
-    return docs.mapInArrow(run, "doc long, mark long, hash long, start int")
+    return docs.mapInArrow(run, "doc long, high long, mark long, hash long, start int")
 
 
 def shared_windows(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -102,11 +103,12 @@ def shared_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     groups = wholes.join(marks.select("mark", "mixed"), "mark").where("mixed or low <> high")
     seen = durable(segments.join(groups, ["mark", "whole"]))
     entire = seen.where("low <> high").select("doc", "first", "last")
-    # Of each distinct segment in a group with several, one document's windows stand for all that have it.
-    unsure = seen.where("mixed and doc = low").groupBy("doc").agg(F.collect_list(F.struct("mark", "first", "last")).alias("parts"))
+    # Of each distinct segment in a group with several, the least document's windows stand for all that have it, with the
+    # greatest document beside them; a segment that several have is shared as a whole already.
+    unsure = seen.where("mixed and doc = low").groupBy("doc").agg(F.collect_list(F.struct("mark", "first", "last", "high")).alias("parts"))
     windows = durable(_windows(docs.join(unsure, "doc").select("doc", "text", "parts"), length))
-    known = windows.groupBy("mark", "hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("mark", "hash")
-    single = windows.join(known, ["mark", "hash"], "left_semi").select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
+    known = windows.groupBy("mark", "hash").agg(F.min("doc").alias("low"), F.max("high").alias("high")).where("low <> high").select("mark", "hash")
+    single = windows.where("doc = high").join(known, ["mark", "hash"], "left_semi").select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
     return entire.unionByName(single)
 
 
