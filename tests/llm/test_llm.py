@@ -272,6 +272,32 @@ def test_leaks_against_brute_force(spark):
     assert leakage.seeded_pairs(df, it.limit(0)).count() == 0
 
 
+def test_edited_copies_are_aligned(spark, tmp_path):
+    r = random.Random(6)
+    letters = lambda k: "".join(r.choices("abcdefgh", k=k))
+    items = [(i, letters(200)) for i in range(5)]
+    docs, expected = [], set()
+    for i, t in items:
+        for every in (40, 25, 16):
+            d = len(docs)
+            docs.append((d, letters(90) + "".join("x" if j % every == every // 2 else c for j, c in enumerate(t)) + letters(90)))
+            expected.add((d, i))
+        docs.append((len(docs), letters(300) + t[20:60]))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/test_items.parquet")
+    got = leakage.p7_alignments(spark, str(tmp_path)).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == expected
+    texts, tests = dict(docs), dict(items)
+    assert all(x.score == leakage.align(hashing.code_points(tests[x.item_id]), hashing.code_points(texts[x.doc_id])) for x in got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abc", max_size=12), st.text(alphabet="abc", max_size=30)), max_size=9))
+def test_alignments_of_several_pairs(pairs):
+    a, b = ([hashing.code_points(x) for x in side] for side in (zip(*pairs) if pairs else ([], [])))
+    assert list(leakage.alignments(a, b)) == [leakage.align(x, y) for x, y in zip(a, b)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc", max_size=12), st.text(alphabet="abc", max_size=12))
 def test_alignment_against_brute_force(a, b):

@@ -3,9 +3,12 @@
 Rare n-gram seeds join documents to test items, a Smith-Waterman alignment scores each joined pair, and an exact check of
 the longest unbroken run may follow. Texts are compared by their letters, combining marks and digits, case ignored.
 
-Seeds of an item are the rarest n-gram of every stretch as long as half the item, rarity being the number of documents of
-the whole corpus that have the n-gram. A document with at least half of an item in one run has a whole such stretch, so it
-has a seed: no such document is lost. A stretch one of whose n-grams no document has needs no seed.
+Where a document must have half of an item in one run, seeds of the item are the rarest n-gram of every stretch as long as
+half the item, rarity being the number of documents of the whole corpus that have the n-gram. Such a document has a whole
+such stretch, so it has a seed: no such document is lost. A stretch one of whose n-grams no document has needs no seed.
+
+An edited copy needs no whole stretch, and its n-grams may be anything but the rarest. Where such copies are asked for, every
+n-gram of an item is a seed.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from thornbill.tables import canonical, table
 GRAM = 12
 #: Characters of test items that travel with the code at once; more items go through in blocks of about this size.
 BLOCK_CHARS = 500_000
+#: Pairs aligned together, and characters that they have together at most, unless one pair alone has more.
+ALIGNED, ALIGNED_CELLS = 256, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, 2
 _FILTER_BITS = 20
 
@@ -100,17 +105,57 @@ def choose_seeds(items: list[tuple[int, str]], documents: dict[tuple[int, int],
     return {k: dict(v) for k, v in seeds.items()}
 
 
+def every_seed(items: list[tuple[int, str]]) -> dict[int, dict[int, list[tuple[int, int]]]]:
+    """Like ``choose_seeds``, with every n-gram of every item."""
+    seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    for number, (_, text) in enumerate(items):
+        _, k, hashes = item_grams(text)
+        for i, h in enumerate(hashes.tolist()):
+            seeds[k][h].append((number, i))
+    return {k: dict(v) for k, v in seeds.items()}
+
+
+def _align_padded(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """``align`` of several pairs at once, anti-diagonal by anti-diagonal; a row an item's place, a column a pair."""
+    n, m = max(map(len, a)), max(map(len, b))
+    # Padding is of no text and differs between both sides, so it never matches.
+    items, texts = np.full((n, len(a)), 0xFFFFFFFF, np.uint32), np.full((m + 2 * n, len(a)), 0xFFFFFFFE, np.uint32)
+    for i, (x, y) in enumerate(zip(a, b)):
+        items[: len(x), i] = x
+        texts[n + m - len(y) : n + m, i] = y[::-1]
+    kind = np.int16 if MATCH * n < 1 << 14 else np.int32
+    before, last, row = (np.zeros((n + 1, len(a)), kind) for _ in range(3))
+    best = np.zeros((n, len(a)), kind)
+    for d in range(n + m - 1):
+        same = items == texts[n + m - 1 - d : 2 * n + m - 1 - d]
+        now = row[1:]
+        np.multiply(same, kind(MATCH - MISMATCH), out=now)
+        now += kind(MISMATCH)
+        now += before[:-1]
+        np.maximum(now, np.maximum(last[:-1], last[1:]) - kind(GAP), out=now)
+        np.maximum(now, kind(0), out=now)
+        np.maximum(best, now, out=best)
+        before, last, row = last, row, before
+    return best.max(axis=0)
+
+
+def alignments(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The Smith-Waterman score of the best local alignment of each pair of sequences of code points. Pairs of like length
+    are aligned together."""
+    out = np.zeros(len(a), np.int64)
+    order = sorted((i for i in range(len(a)) if len(a[i]) and len(b[i])), key=lambda i: (len(b[i]), len(a[i])))
+    while order:
+        # The longest come last; as many go together as keep the memory bounded.
+        size = len(b[order[-1]]) + 2 * max(len(a[i]) for i in order[-ALIGNED:])
+        part = order[-max(1, min(ALIGNED, ALIGNED_CELLS // size)) :]
+        del order[-len(part) :]
+        out[part] = _align_padded([a[i] for i in part], [b[i] for i in part])
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray) -> int:
-    """The Smith-Waterman score of the best local alignment of two sequences of code points, row by row."""
-    steps = GAP * np.arange(1, len(b) + 1)
-    above = np.zeros(len(b) + 1, np.int64)
-    best = 0
-    for x in a:
-        row = np.maximum(above[:-1] + np.where(b == x, MATCH, MISMATCH), above[1:] - GAP)
-        row = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + steps) - steps, 0)
-        above[1:] = row
-        best = max(best, int(row.max(initial=0)))
-    return best
+    """The Smith-Waterman score of the best local alignment of two sequences of code points."""
+    return int(alignments([a], [b])[0])
 
 
 def longest_run(doc: str, item: str, places: list[tuple[int, int]], k: int) -> int:
@@ -137,8 +182,8 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], seeds: dict) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for i in range(0, len(batch), 200):
+                out, sides, windows, owner = [], [], [], []
                 ids = batch.column(0).slice(i, 200).to_pylist()
                 texts = batch.column(1).slice(i, 200).to_pylist()
                 pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
@@ -149,24 +194,29 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], seeds: dict) -> DataFra
                 for (t, number), places in pairs.items():
                     item = items[number][1]
                     n, k = len(item), places[0][2]
-                    score, done = 0, -1
+                    done = -1
                     for p, q, _ in sorted(places):
                         if p >= done:
                             low, done = max(0, p - q - n // 2), p - q + n + n // 2
-                            score = max(score, align(reach[number], code_points(texts[t][low : max(done, p + k)])))
-                    out.append((ids[t], items[number][0], score, longest_run(texts[t], item, [(p, q) for p, q, _ in places], k), n))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "item", "score", "run", "n"])
+                            sides.append(reach[number])
+                            windows.append(code_points(texts[t][low : max(done, p + k)]))
+                            owner.append(len(out))
+                    out.append([ids[t], items[number][0], 0, longest_run(texts[t], item, [(p, q) for p, q, _ in places], k), n])
+                for o, score in zip(owner, alignments(sides, windows).tolist()):
+                    out[o][2] = max(out[o][2], score)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "item", "score", "run", "n"])
 
     return docs.mapInArrow(run, "doc long, item long, score long, run long, n long")
 
 
-def seeded_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+def seeded_pairs(docs: DataFrame, items: DataFrame, every: bool = False) -> DataFrame:
     """``doc, item, score, run, n``: every document and item that share a seed, with the score of their best local
     alignment, the longest unbroken run through a seed and the item's length, all in letters, marks and digits.
 
     ``docs`` has ``doc long, text string``, ``items`` has ``item long, text string``. Null texts and texts without any
-    letter, mark or digit have no pairs. Documents are scanned twice for each block of items and never shuffled.
+    letter, mark or digit have no pairs. Seeds are those of runs of half an item, or with ``every`` all n-grams of an item.
+    Documents are scanned twice for each block of items, with ``every`` once, and never shuffled.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc").cast("long"), canonical(F.col("text")).alias("text")).where("text <> ''")
@@ -176,12 +226,16 @@ def seeded_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = None
     for block in range(blocks):
         mine = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item").collect()]
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
-        for _, text in mine:
-            _, k, h = item_grams(text)
-            hashes[k].append(h)
-        counts = _count_documents(docs, Grams({k: np.unique(np.concatenate(v)) for k, v in hashes.items()}))
-        found = _scan(docs, mine, choose_seeds(mine, counts))
+        if every:
+            seeds = every_seed(mine)
+        else:
+            hashes: dict[int, list[np.ndarray]] = defaultdict(list)
+            for _, text in mine:
+                _, k, h = item_grams(text)
+                hashes[k].append(h)
+            counts = _count_documents(docs, Grams({k: np.unique(np.concatenate(v)) for k, v in hashes.items()}))
+            seeds = choose_seeds(mine, counts)
+        found = _scan(docs, mine, seeds)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc long, item long, score long, run long, n long")
 
@@ -199,8 +253,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, item_id, score, share``: pairs whose best local alignment has at least half of the score of a whole copy,
-    edited copies included; ``share`` is that part."""
-    pairs = seeded_pairs(*_inputs(spark, sf_dir)).withColumn("share", F.round(F.col("score") / (MATCH * F.col("n")), 6))
+    edited copies included; ``share`` is that part. Any n-gram in common is enough for a pair to be aligned."""
+    pairs = seeded_pairs(*_inputs(spark, sf_dir), every=True).withColumn("share", F.round(F.col("score") / (MATCH * F.col("n")), 6))
     return pairs.where("share >= 0.5").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", "share")
 
 
