@@ -272,6 +272,16 @@ def test_leaks_against_brute_force(spark):
     assert leakage.seeded_pairs(df, it.limit(0)).count() == 0
 
 
+def test_half_copies_behind_a_fragment(spark, tmp_path):
+    r = random.Random(8)
+    letters = lambda k: "".join(r.choices("abcdefgh", k=k))
+    items = [(i, letters(100)) for i in range(30)]
+    docs = [(i, letters(40) + t[60:80] + letters(50) + t[50:] + letters(40)) for i, t in items]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/test_items.parquet")
+    assert sorted((x.doc_id, x.item_id) for x in leakage.p7_found(spark, str(tmp_path)).collect()) == [(i, i) for i in range(30)]
+
+
 def test_edited_copies_are_aligned(spark, tmp_path):
     r = random.Random(6)
     letters = lambda k: "".join(r.choices("abcdefgh", k=k))

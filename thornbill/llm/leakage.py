@@ -158,6 +158,19 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return int(alignments([a], [b])[0])
 
 
+def stretches_around(places: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
+    """The stretches of a document to which an alignment through a seed at ``(place in doc, place in item, length)`` can
+    reach if it has half of the score of the whole item, of ``n`` letters: its gaps cost at most the other half, so they are
+    at most half the item. Stretches that overlap or touch are one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted({(max(0, p - q - n // 2), p - q + n + n // 2) for p, q, _ in places}):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
 def longest_run(doc: str, item: str, places: list[tuple[int, int]], k: int) -> int:
     """The length of the longest common run through any of the seeds at ``(place in doc, place in item)``."""
     best, seen = 0, {}
@@ -194,13 +207,10 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], seeds: dict) -> DataFra
                 for (t, number), places in pairs.items():
                     item = items[number][1]
                     n, k = len(item), places[0][2]
-                    done = -1
-                    for p, q, _ in sorted(places):
-                        if p >= done:
-                            low, done = max(0, p - q - n // 2), p - q + n + n // 2
-                            sides.append(reach[number])
-                            windows.append(code_points(texts[t][low : max(done, p + k)]))
-                            owner.append(len(out))
+                    for low, high in stretches_around(places, n):
+                        sides.append(reach[number])
+                        windows.append(code_points(texts[t][low:high]))
+                        owner.append(len(out))
                     out.append([ids[t], items[number][0], 0, longest_run(texts[t], item, [(p, q) for p, q, _ in places], k), n])
                 for o, score in zip(owner, alignments(sides, windows).tolist()):
                     out[o][2] = max(out[o][2], score)
