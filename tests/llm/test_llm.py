@@ -143,6 +143,20 @@ def test_truncated_pairs(spark):
     assert pairs.broken_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_truncated_pairs_at_any_size(spark, times):
+    rows = []
+    for k in range(times):
+        c = "".join("bcdfghjklm"[int(x)] for x in f"{k:03}")
+        rows += [("", f"The Ra{c}{x} canal is {i}.5 km long and was surveyed in the old days.") for i, x in enumerate("npqrst", 11)]
+        rows += [("cut", f"The Ra{c}{x} canal is {i}.") for i, x in enumerate("vw", 11)]
+        rows += [("cut", f"The Ra{c}x canal is 12.5 km lo and was surv in"), ("", "Lantern"), ("", f"Nobody of {c} lives in a shed by the mill.")]
+    rows += [("", f"A {w} stood where they came in.") for w in ("barn", "mill")]
+    data = [(i, f"q {i}" if a == "Lantern" else f"about {a.split()[1]}", a, "en") for i, (_, a) in enumerate(rows)]
+    got = {r.id: r.defect for r in pairs.broken_pairs(spark.createDataFrame(data, "id int, query string, answer string, lang string")).collect()}
+    assert got == {i: "truncated" for i, (kind, _) in enumerate(rows) if kind}
+
+
 def test_shortened_across_ranges(spark):
     words = sorted({"".join(random.Random(i).choices("ab", k=random.Random(i).randint(1, 8))) for i in range(200)})
     df = spark.createDataFrame([("en", w) for w in words], "lang string, mask string")

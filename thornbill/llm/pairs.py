@@ -56,6 +56,10 @@ SCRIPTS_OF = {"ja": {"KANA", "HAN"}, "zh": {"HAN"}, "ko": {"HANGUL", "HAN"}, "mr
 _BLOCKS = {"LATIN": "Latin", "DEVANAGARI": "Devanagari", "BENGALI": "Bengali", "TAMIL": "Tamil", "TELUGU": "Telugu", "ARABIC": "Arabic", "THAI": "Thai", "HAN": "Han", "CYRILLIC": "Cyrillic", "GREEK": "Greek", "HANGUL": "Hangul"}
 _SCRIPT = {k: regex.compile(rf"\p{{{v}}}") for k, v in _BLOCKS.items()} | {"KANA": regex.compile(r"[\p{Hiragana}\p{Katakana}]")}
 
+#: Share of an ending's occurrences that must close a sentence for it to be one; closed sentences for each that goes on behind
+#: the same number, up to which the closed are cut.
+FINAL_SHARE, CLOSED_SHARE = 0.1, 1.0
+
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
 _ENDS = regex.compile(r"[.!?。！？।॥۔؟|．｡][\s”’»」』）)\]\"']*$")
 _DANGLING = regex.compile(r"(?:\.{2,}|…|[\s\-–—,;:、，；：(（\[“‘「『])+$")
@@ -135,6 +139,18 @@ def mask(query: str, text: str) -> str:
     return regex.sub(r"¤(?: ¤)*", "¤", _WORDS.sub(one, low))
 
 
+def endings_of(text: str) -> list[str]:
+    """What stands before each place where a masked sentence could end, the whole sentence last: the last two words, in
+    scripts without spaces the last four characters."""
+    words = text.split(" ")
+    out = []
+    for i, w in enumerate(words):
+        places = [j for j in range(1, len(w)) if _CJK.search(w[max(0, j - 4) : j])]
+        out += [w[max(0, j - 4) : j] for j in places]
+        out.append(w[-4:] if _CJK.search(w[-4:]) else " ".join(words[max(0, i - 1) : i + 1]))
+    return out
+
+
 _SPLITTER = Splitter(Model())
 
 
@@ -155,7 +171,7 @@ def last_sentence(answer: str, lang: str) -> tuple[str, bool, bool]:
 def examine(query: str | None, answer: str | None, lang: str | None) -> dict:
     """The rules that look at one pair, and what the corpus-wide comparison needs: the masked last sentence."""
     query, lang = query or "", base_language(lang)
-    out = {"defect": None, "mask": None, "closed": False, "value": False, "dangling": False, "length": len(answer or ""), "ending": None, "name": False}
+    out = {"defect": None, "mask": None, "closed": False, "value": False, "dangling": False, "length": len(answer or ""), "ending": None, "name": False, "inside": []}
     if answer is None or is_empty(answer):
         return out | {"defect": "empty"}
     if refuses(query, answer, lang):
@@ -167,28 +183,28 @@ def examine(query: str | None, answer: str | None, lang: str | None) -> dict:
     bare, closed, alone = last_sentence(answer, lang)
     masked = mask(query, bare)
     tail = mask("", bare).split(" ")
-    ending = tail[-1][-4:] if _CJK.search(tail[-1][-4:]) else " ".join(tail[-2:])
+    *inside, ending = endings_of(mask("", bare))
     value = alone and bool(_VALUE.fullmatch(former().form(answer)))
     dangling = bool(_DANGLING.search(answer.rstrip().rstrip(INVISIBLE)))
     # One or two words without a number that aren't the query's may be a bare value too.
     name = alone and len(tail) <= 2 and not regex.search("[0¤]", masked) and not _CJK.search(masked)
-    return out | {"mask": masked, "closed": closed, "value": value, "dangling": dangling, "ending": ending, "name": name}
+    return out | {"mask": masked, "closed": closed, "value": value, "dangling": dangling, "ending": ending, "name": name, "inside": inside}
 
 
-_EXAMINED = "id long, lang string, defect string, mask string, closed boolean, value boolean, dangling boolean, length int, ending string, name boolean"
+_EXAMINED = "id long, lang string, defect string, mask string, closed boolean, value boolean, dangling boolean, length int, ending string, name boolean, inside array<string>, pair long"
 
 
 def _examined(pairs: DataFrame) -> DataFrame:
-    names = ["defect", "mask", "closed", "value", "dangling", "length", "ending", "name"]
-    types = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.bool_()]
+    names = ["defect", "mask", "closed", "value", "dangling", "length", "ending", "name", "inside"]
+    types = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [examine(q, a, lang) for q, a, lang in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             langs = pa.array([base_language(x) for x in batch.column(3).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), langs, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, types))], names=["id", "lang", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), langs, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, types)), batch.column(4)], names=["id", "lang", *names, "pair"])
 
-    return pairs.select(F.col("id").cast("long"), "query", "answer", "lang").mapInArrow(run, _EXAMINED)
+    return pairs.select(F.col("id").cast("long"), "query", "answer", "lang", F.xxhash64("query", "answer").alias("pair")).mapInArrow(run, _EXAMINED)
 
 
 def shortened(masks: DataFrame) -> DataFrame:
@@ -211,7 +227,7 @@ def shortened(masks: DataFrame) -> DataFrame:
 
 def length_spikes(examined: DataFrame) -> DataFrame:
     """``lang, length``: lengths at which at least 20 responses, and ten times as many as at both neighbours together, break off."""
-    counts = examined.where("defect is null and not closed and not value").groupBy("lang", "length").count()
+    counts = examined.where("defect is null and not closed and not value and not name").groupBy("lang", "length").count()
     order = W.partitionBy("lang").orderBy("length").rangeBetween(-1, 1)  # a row a length, not a row a response
     return counts.withColumn("around", F.sum("count").over(order) - F.col("count")).where("count >= 20 and count > 10 * around").select("lang", "length")
 
@@ -222,22 +238,30 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     is never copied; without a language no other language is found.
 
     An open last sentence (no terminator, or one that trails off) is whole if the corpus has it closed, and broken off if
-    another sentence of the corpus goes on from it or its last words never end a sentence. A bare value is never broken off.
+    another sentence of the corpus goes on from it or its last words hardly ever end a sentence. A bare value is never broken
+    off, nor one or two words from which nothing goes on. A closed sentence that ends with a number is broken off, at the
+    number's point, if more sentences go on from there. Only shares over distinct pairs decide, whatever the number of rows.
     """
     rows = durable(_examined(pairs))
     fine = rows.where("defect is null")
-    masks = fine.where("not value").groupBy("lang", "mask").agg(F.count_if("closed").alias("n_closed"), F.count_if(~F.col("closed")).alias("n_open"))
+    distinct = fine.where("not value").dropDuplicates(["lang", "pair"])
+    masks = distinct.groupBy("lang", "mask").agg(F.count_if("closed").alias("n_closed"), F.count(F.lit(1)).alias("n"))
     masks = durable(masks)
     known = masks.join(shortened(masks.select("lang", "mask")), ["lang", "mask"])
-    endings = fine.where("closed and not value").groupBy("lang", "ending").agg(F.count(F.lit(1)).alias("n_ending"))
+    # How many sentences go on behind each digit, for those that break off there.
+    at = F.explode(F.expr("filter(sequence(1, length(mask) - 1), i -> substring(mask, i, 1) = '0')"))
+    going = masks.where("length(mask) > 1").select("lang", "mask", "n", at.alias("i")).select("lang", F.expr("substring(mask, 1, i)").alias("mask"), "n")
+    going = going.groupBy("lang", "mask").agg(F.sum("n").alias("n_going"))
+    closing = distinct.where("closed").select("lang", "ending", F.lit(1).alias("final"))
+    passing = distinct.select("lang", F.explode("inside").alias("ending"), F.lit(0).alias("final"))
+    endings = closing.unionByName(passing).groupBy("lang", "ending").agg(F.avg("final").alias("final"))
     spikes = length_spikes(rows).withColumn("spike", F.lit(True))
-    looked = fine.where("not value").join(known, ["lang", "mask"]).join(endings, ["lang", "ending"], "left").join(spikes, ["lang", "length"], "left")
+    looked = fine.where("not value").join(known, ["lang", "mask"]).join(going, ["lang", "mask"], "left").join(endings, ["lang", "ending"], "left").join(spikes, ["lang", "length"], "left")
     whole = (F.col("n_closed") > 0) & ~F.col("dangling")
-    ends = F.coalesce("n_ending", F.lit(0)) >= 2
-    name = F.col("name") & (F.col("n_closed") + F.col("n_open") < 5)
-    broken_open = ~F.col("closed") & ~whole & (F.col("dangling") | F.col("longer") | F.coalesce("spike", F.lit(False)) | ~(ends | name))
+    ends = F.coalesce("final", F.lit(0)) >= FINAL_SHARE
+    broken_open = ~F.col("closed") & ~whole & (F.col("dangling") | F.col("longer") | (F.coalesce("spike", F.lit(False)) & ~F.col("name")) | ~(ends | F.col("name")))
     # A number cut at its point looks closed.
-    broken_closed = F.col("closed") & F.col("mask").rlike("0$") & F.col("longer") & (F.col("n_closed") < 3)
+    broken_closed = F.col("closed") & F.col("mask").rlike("0$") & (F.col("n_closed") <= CLOSED_SHARE * F.col("n_going"))
     truncated = looked.where(broken_open | broken_closed).select("id", F.lit("truncated").alias("defect"))
     return rows.where("defect is not null").select("id", "defect").unionByName(truncated)
 
