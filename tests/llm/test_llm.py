@@ -157,6 +157,15 @@ def test_truncated_pairs_at_any_size(spark, times):
     assert got == {i: "truncated" for i, (kind, _) in enumerate(rows) if kind}
 
 
+def test_truncated_within_an_earlier_sentence(spark):
+    rows = [
+        (1, "about Rab", "The Rab canal is old. It was dug by hand near the mill. Nobody minds.", "en"), (2, "about Rac", "The Rac canal is old. It was dug by hand", "en"),
+        (3, "about Rad", "A ferry sank when it was dug by hand.", "en"), (4, "about Raf", "The Raf canal is old. Nobody minds", "en"), (5, "about Rag", "A bell was dug by hand.", "en"),
+    ]
+    got = {r.id: r.defect for r in pairs.broken_pairs(spark.createDataFrame(rows, "id int, query string, answer string, lang string")).collect()}
+    assert got == {2: "truncated"}
+
+
 def test_shortened_across_ranges(spark):
     words = sorted({"".join(random.Random(i).choices("ab", k=random.Random(i).randint(1, 8))) for i in range(200)})
     df = spark.createDataFrame([("en", w) for w in words], "lang string, mask string")

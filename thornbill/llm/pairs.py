@@ -1,7 +1,7 @@
 """Prompt and response pairs of no use as a pair, with the kind of their defect.
 
-Responses are masked (digits and the words of their query become place-holders) and sorted, and neighbours' common
-prefixes show which are shortened versions of others; lengths at which many responses break off are found; then the rules
+Sentences of responses are masked (digits and the words of their query become place-holders) and sorted, and neighbours'
+common prefixes show which last sentences are shortened versions of others, in whatever place of a response; lengths at which many responses break off are found; then the rules
 for empty, refusing and copying responses and for other languages apply.
 """
 
@@ -154,24 +154,24 @@ def endings_of(text: str) -> list[str]:
 _SPLITTER = Splitter(Model())
 
 
-def last_sentence(answer: str, lang: str) -> tuple[str, bool, bool]:
-    """The last sentence without its end, whether it has a terminator, and whether it is the whole answer."""
+def last_sentence(answer: str, lang: str) -> tuple[str, bool, list[str]]:
+    """The last sentence without its end, whether it has a terminator, and the sentences before it."""
     spans = _SPLITTER.split(answer.strip(INVISIBLE), lang)
     text = answer.strip(INVISIBLE)
     if not spans:
-        return "", False, True
+        return "", False, []
     a, b = spans[-1]
     part = text[a:b].rstrip(INVISIBLE)
     dangling = bool(_DANGLING.search(part))
     closed = not dangling and bool(_ENDS.search(part))
     bare = _DANGLING.sub("", part) if dangling else _ENDS.sub("", part)
-    return bare.rstrip(), closed, len(spans) == 1
+    return bare.rstrip(), closed, [_ENDS.sub("", text[a:b].rstrip(INVISIBLE)).rstrip() for a, b in spans[:-1]]
 
 
 def examine(query: str | None, answer: str | None, lang: str | None) -> dict:
-    """The rules that look at one pair, and what the corpus-wide comparison needs: the masked last sentence."""
+    """The rules that look at one pair, and what the corpus-wide comparison needs: the masked last sentence, and those before it."""
     query, lang = query or "", base_language(lang)
-    out = {"defect": None, "mask": None, "closed": False, "value": False, "dangling": False, "length": len(answer or ""), "ending": None, "name": False, "inside": []}
+    out = {"defect": None, "mask": None, "closed": False, "value": False, "dangling": False, "length": len(answer or ""), "ending": None, "name": False, "inside": [], "before": []}
     if answer is None or is_empty(answer):
         return out | {"defect": "empty"}
     if refuses(query, answer, lang):
@@ -180,7 +180,8 @@ def examine(query: str | None, answer: str | None, lang: str | None) -> dict:
         return out | {"defect": "copy"}
     if other_language(query, answer, lang):
         return out | {"defect": "language"}
-    bare, closed, alone = last_sentence(answer, lang)
+    bare, closed, others = last_sentence(answer, lang)
+    alone = not others
     masked = mask(query, bare)
     tail = mask("", bare).split(" ")
     *inside, ending = endings_of(mask("", bare))
@@ -188,15 +189,15 @@ def examine(query: str | None, answer: str | None, lang: str | None) -> dict:
     dangling = bool(_DANGLING.search(answer.rstrip().rstrip(INVISIBLE)))
     # One or two words without a number that aren't the query's may be a bare value too.
     name = alone and len(tail) <= 2 and not regex.search("[0¤]", masked) and not _CJK.search(masked)
-    return out | {"mask": masked, "closed": closed, "value": value, "dangling": dangling, "ending": ending, "name": name, "inside": inside}
+    return out | {"mask": masked, "closed": closed, "value": value, "dangling": dangling, "ending": ending, "name": name, "inside": inside, "before": [mask(query, x) for x in others]}
 
 
-_EXAMINED = "id long, lang string, defect string, mask string, closed boolean, value boolean, dangling boolean, length int, ending string, name boolean, inside array<string>, pair long"
+_EXAMINED = "id long, lang string, defect string, mask string, closed boolean, value boolean, dangling boolean, length int, ending string, name boolean, inside array<string>, before array<string>, pair long"
 
 
 def _examined(pairs: DataFrame) -> DataFrame:
-    names = ["defect", "mask", "closed", "value", "dangling", "length", "ending", "name", "inside"]
-    types = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+    names = ["defect", "mask", "closed", "value", "dangling", "length", "ending", "name", "inside", "before"]
+    types = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), *[pa.list_(pa.string())] * 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,10 +248,13 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     distinct = fine.where("not value").dropDuplicates(["lang", "pair"])
     masks = distinct.groupBy("lang", "mask").agg(F.count_if("closed").alias("n_closed"), F.count(F.lit(1)).alias("n"))
     masks = durable(masks)
-    known = masks.join(shortened(masks.select("lang", "mask")), ["lang", "mask"])
+    # A sentence may go on as any sentence of another answer; only last sentences show whether it is whole.
+    before = distinct.select("lang", F.explode("before").alias("mask")).groupBy("lang", "mask").agg(F.count(F.lit(1)).alias("n"))
+    sentences = durable(masks.select("lang", "mask", "n").unionByName(before).groupBy("lang", "mask").agg(F.sum("n").alias("n")))
+    known = masks.join(shortened(sentences.select("lang", "mask")), ["lang", "mask"])
     # How many sentences go on behind each digit, for those that break off there.
     at = F.explode(F.expr("filter(sequence(1, length(mask) - 1), i -> substring(mask, i, 1) = '0')"))
-    going = masks.where("length(mask) > 1").select("lang", "mask", "n", at.alias("i")).select("lang", F.expr("substring(mask, 1, i)").alias("mask"), "n")
+    going = sentences.where("length(mask) > 1").select("lang", "mask", "n", at.alias("i")).select("lang", F.expr("substring(mask, 1, i)").alias("mask"), "n")
     going = going.groupBy("lang", "mask").agg(F.sum("n").alias("n_going"))
     closing = distinct.where("closed").select("lang", "ending", F.lit(1).alias("final"))
     passing = distinct.select("lang", F.explode("inside").alias("ending"), F.lit(0).alias("final"))
