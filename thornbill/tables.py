@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +22,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session. Only where none is named (tests, a laptop) is one made."""
+    """The shared folder of the session. Only where none is named and all runs on one machine (tests, a laptop) is one made;
+    on a cluster without one this raises, as a folder of one machine would be lost with it."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
-        have = tempfile.mkdtemp(prefix="thornbill-checkpoint-")
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        have = tempfile.mkdtemp(prefix="thornbill-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(have)
     return have
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that :func:`durable` wrote in this session; whatever was built on it can't be read afterwards."""
+    for path in _written.pop(spark.sparkContext.applicationId, ()):
+        _remove(spark, path)
+
+
+#: What was written, by application; removed when the driver ends.
+_written: dict[str, list[str]] = {}
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):
+        release(spark)
+
+
+atexit.register(_release_at_exit)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder as compressed columns and read again, its lineage cut; survives lost executors.
+    Plans built on it read only the columns they use, and see its size."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_blank(c: Column) -> Column:
