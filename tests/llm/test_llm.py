@@ -1,5 +1,6 @@
 """The text operators against brute force, exact round trips and their edge cases."""
 
+import os
 import random
 import unicodedata
 from collections import defaultdict
@@ -16,7 +17,7 @@ from thornbill.llm import dedup, hashing, leakage, lookalike, pairs, pieces, sen
 
 
 def model(*abbreviations, starters=()):
-    return sentences.Model({("en", a) for a in abbreviations}, {("en", s) for s in starters}, set())
+    return sentences.Model(abbreviations={("en", a) for a in abbreviations}, starters={("en", s) for s in starters})
 
 
 def split(text, lang="en", m=None):
@@ -53,6 +54,55 @@ def test_swapped_case():
     assert split("wAIT... DID IT RAIN? dR. aNN SAID SO. tHE END", m=m) == ["wAIT... DID IT RAIN?", "dR. aNN SAID SO.", "tHE END"]
 
 
+def test_quotations_of_any_length():
+    inner = "It rains. Nobody came. " * 60
+    for a, b in ("“”", "「」", '""', "()", "«»"):
+        assert split(f"He wrote {a}{inner.strip()}{b} and left. Yes.") == [f"He wrote {a}{inner.strip()}{b} and left.", "Yes."]
+    # A mark without its other mark is no quotation.
+    assert split('He wrote "It rains. He "left" again. Yes.') == ['He wrote "It rains.', 'He "left" again.', "Yes."]
+    deep = "(" * 3000 + "A. B" + ")" * 3000 + " c. D"
+    assert len(split(deep)) == 1 and len(split(f"{deep} then. Even")) == 2
+
+
+def test_collocations_keep_a_stop_inside():
+    m = sentences.Model(collocations={("de", "## oktober"), ("en", "f kennedy")}, starters={("en", "kennedy")})
+    assert split("Am 3. Oktober kam er. Im Jahr 1990. Danach nicht.", "de", m) == ["Am 3. Oktober kam er.", "Im Jahr 1990.", "Danach nicht."]
+    assert split("John F. Kennedy ran.", m=m) == ["John F. Kennedy ran."]
+    assert split("John F. Kennedy ran.", m=sentences.Model(starters={("en", "kennedy")})) == ["John F.", "Kennedy ran."]
+
+
+def reduced(m, text, lang):
+    """The part of a model that a text may ask for."""
+    asked = sentences.questions(text, sentences.base_language(lang))
+    return sentences.Model(*({x for x in kind if x in asked} for kind in (m.abbreviations, m.collocations, m.starters, m.lower)), m.cased)
+
+
+WORDS = ["Mr", "mr", "Ｍｒ", "e.g", "12", "K", "dr", "No", "the", "The", "ends", "don't", "well-known", "м", "“so", "end”", "(at", "that)", "[Mr", "दिन", "है"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from([" ", ". ", ".", "? ", "... ", ".” ", '."', " ", "। "])), max_size=14), st.sampled_from(["en", "hi", None]), st.integers(0, 1 << 30))
+def test_a_text_asks_for_all_it_needs(parts, lang, seed):
+    r = random.Random(seed)
+    text = "".join(w + s for w, s in parts)
+    types = sorted({sentences.type_of(w) for w in WORDS} | {"e.g", "the"})
+    entries = {(x, t) for x in ("en", "hi", "ru", "") for t in types}
+    some = lambda of: {x for x in of if r.random() < 0.5}
+    pairs = {(x, f"{a} {b}") for x in ("en", "hi", "") for a in types for b in types if len(a) <= 2}
+    m = sentences.Model(some(entries), some(pairs), some(entries), some(entries), True)
+    assert sentences.Splitter(reduced(m, text, lang)).split(text, lang) == sentences.Splitter(m).split(text, lang)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_both_ways_of_a_model_on_all_passages(spark):
+    docs = sentences._passages(spark, "/root/testdata/sf0.01")
+    rows = sentences.learn(docs).collect()
+    m = sentences.Model.of([tuple(r) for r in rows])
+    assert {r.kind for r in rows} >= {"a", "s", "l"}
+    for _, text, lang in docs.collect():
+        assert sentences.Splitter(reduced(m, text, lang)).split(text, lang) == sentences.Splitter(m).split(text, lang)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB1 .!?\n“”()।。ก \"'", max_size=60))
 def test_sentences_cover_everything_but_space(text):
@@ -66,6 +116,11 @@ def test_sentences_cover_everything_but_space(text):
 def test_learning(spark):
     random.seed(2)
     names = ["".join(random.choices("bdgklmnp", k=3)) + "a" for _ in range(300)]
+    months = ["Maerz", "April", "Oktober"]
+    dates = [(2000 + i, f"Am {random.randint(1, 28)}. {random.choice(months)} kam {random.choice(['Anna', 'Otto'])} mit dem Boot nach {random.choice(names)}. Es war schon sehr kalt im Jahr {random.randint(1900, 1999)}. {random.choice(['Der', 'Die', 'Das'])} Turm stand lange am Markt neben {random.choice(names)}. {random.choice(['Der', 'Die', 'Das'])} Hof brannte am Abend bis {random.choice(names)}.", "de", 0) for i in range(300)]
+    german = {tuple(r) for r in sentences.learn(spark.createDataFrame(dates, "id long, text string, lang string, kind int")).collect()}
+    tied, first = ({x for k, _, x in german if k == kind} for kind in "cs")
+    assert tied >= {f"## {m.lower()}" for m in months} and not tied & {"## der", "## die", "## das"} and first >= {"der", "die", "das"}, (tied, first)
     verbs = ["ran", "swam", "slept", "sang", "read"]
     rows = []
     for i in range(200):
