@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thornbill.tables import WS, canonical, durable, is_blank, table
@@ -19,6 +19,11 @@ def passage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unionByName(r)
 
 
+def _digest(value: Column) -> Column:
+    """128 bits of a value; no bytes for null."""
+    return F.coalesce(F.unhex(F.md5(value)), F.lit(b""))
+
+
 def encode(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``key, codes``: each record as the sorted array of (field number, value number).
 
@@ -28,9 +33,9 @@ def encode(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     value has a code of its own, other than that of an empty text. An empty table gives an empty table.
     """
     cells = records.select(key, F.posexplode(F.array(*(F.col(f).cast("string") for f in fields))).alias("field", "value"))
-    cells = cells.withColumn("digest", F.coalesce(F.sha2("value", 256), F.lit("")))
+    cells = cells.withColumn("digest", _digest(F.col("value")))
     values = cells.groupBy("field", "digest").agg(F.min(key).alias("first"), F.any_value("value").alias("value"))
-    values = values.select("field", "digest", "first", F.coalesce(F.sha2(canonical(F.col("value")), 256), F.lit("")).alias("form"))
+    values = durable(values.select("field", "digest", "first", _digest(canonical(F.col("value"))).alias("form")))  # read for the codes and again for the dictionary
     codes = values.groupBy("field", "form").agg(F.min("first").alias("code"))
     dictionary = values.join(codes, ["field", "form"]).select("field", "digest", "code")
     coded = cells.select(key, "field", "digest").join(dictionary, ["field", "digest"])

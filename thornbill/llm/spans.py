@@ -98,10 +98,12 @@ def shared_windows(docs: DataFrame, length: int = 200) -> DataFrame:
         raise ValueError("length must be at least 2")
     docs = docs.select(F.col("doc").cast("long"), "text").where(F.length("text") >= length)
     segments = durable(_segments(docs, length))
-    wholes = segments.groupBy("mark", "whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    marks = wholes.groupBy("mark").agg(F.min("low").alias("l"), F.max("high").alias("h"), (F.min("whole") != F.max("whole")).alias("mixed")).where("l <> h")
-    groups = wholes.join(marks.select("mark", "mixed"), "mark").where("mixed or low <> high")
-    seen = durable(segments.join(groups, ["mark", "whole"]))
+    # Most marks stand in one document only: they are counted out by the mark alone, and only the rest goes further.
+    marks = segments.groupBy("mark").agg(F.min("doc").alias("l"), F.max("doc").alias("h"), (F.min("whole") != F.max("whole")).alias("mixed"))
+    marks = durable(marks.where("l <> h").select("mark", "mixed"))
+    common = durable(segments.join(marks, "mark"))
+    wholes = common.groupBy("mark", "whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    seen = durable(common.join(wholes, ["mark", "whole"]).where("mixed or low <> high"))
     entire = seen.where("low <> high").select("doc", "first", "last")
     # Of each distinct segment in a group with several, the least document's windows stand for all that have it, with the
     # greatest document beside them; a segment that several have is shared as a whole already.
