@@ -276,12 +276,28 @@ def test_form_is_stable_and_composed(text):
 def test_alike_pairs(spark):
     rows = [("k", "a", "1", "reach"), ("k", "b", "2", "re­ach"), ("k", "c", "2", "reach"), ("k", "d", "3", "rеach"), ("j", "e", "4", "re­ach"), ("k", "f", None, "r­each"), ("k", "g", "5", None), ("k", "h", "6", "other"), ("k", "a", "1", "reach")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "kind string, key string, owner string, text string, form int")
-    got = sorted((r.key_a, r.key_b) for r in lookalike.alike_pairs(df).collect())
+    members = lookalike.alike_members(df)
+    got = sorted((r.key_a, r.key_b) for r in lookalike.alike_pairs(members).collect())
     assert got == [("a", "b"), ("a", "d"), ("b", "d"), ("c", "d")]
-    assert lookalike.alike_pairs(df.limit(0)).count() == 0
+    assert [(r.kind, r.n_texts, r.n_members, r.n_links) for r in lookalike.alike_classes(members).collect()] == [("k", 3, 4, 4)]
+    none = lookalike.alike_members(df.limit(0))
+    assert lookalike.alike_pairs(none).count() == 0 and lookalike.alike_classes(none).count() == 0
     assert {r.key: r.form for r in lookalike.with_form(df.select("key", "text"), "key", "text").collect()}["g"] is None
 
 
+def test_alike_classes_of_boilerplate(spark):
+    r = random.Random(7)
+    ways = ["see the map", "s\u00adee the map", "see\u00a0the map", "sее the map"]
+    rows = [("k", f"{i:05}", str(r.randint(0, 9)), r.choice(ways)) for i in range(300)] + [("k", "x", "x", "other"), ("j", "y", "1", ways[0]), ("j", "z", "1", ways[1])]
+    members = lookalike.alike_members(spark.createDataFrame(rows, "kind string, key string, owner string, text string"))
+    got = {x.kind: (x.n_texts, x.n_members, x.n_links) for x in lookalike.alike_classes(members).collect()}
+    links = sum(a[2] != b[2] and a[3] != b[3] for n, a in enumerate(rows[:300]) for b in rows[:n])
+    assert got == {"k": (4, 300, links), "j": (2, 2, 0)} and lookalike.alike_pairs(members).where("kind = 'k'").distinct().count() == links
+    # Work follows the members: ten times as many give millions of links, but as many rows as writings and owners.
+    many = spark.range(200_000).select(F.lit("k").alias("kind"), F.col("id").cast("string").alias("key"), (F.col("id") % 1000).cast("string").alias("owner"), F.element_at(F.array(*map(F.lit, ways)), (F.col("id") % 4 + 1).cast("int")).alias("text"))
+    assert lookalike.alike_classes(lookalike.alike_members(many)).first().n_links == 200_000 * 150_000 // 2
+
+
 # ---------------------------------------------------------------- tokens
 
 try:

@@ -179,30 +179,66 @@ def _digests(df: DataFrame) -> DataFrame:
     return df.select("kind", "key", "owner", "text").mapInArrow(run, "kind string, key string, owner string, raw binary, form binary")
 
 
-def alike_pairs(items: DataFrame) -> DataFrame:
-    """``kind, key_a, key_b``: pairs of texts of the same form but not the same characters.
+def alike_members(items: DataFrame) -> DataFrame:
+    """``kind, key, owner, raw, form``: the texts of those forms that are written in two ways or more, each key and writing
+    once, with digests of the text and of its form.
 
-    ``items`` has ``kind, key, owner, text``; only pairs of one kind and of two owners count, and rows with a null in any
-    of the four are left out. Groups are reduced to their least and greatest text with map-side combining; only members
-    of groups with two texts or more are joined, class of equal texts by class of equal texts, so that copies of one text
-    meet no copies of it and the work follows the number of pairs found.
+    ``items`` has ``kind, key, owner, text``; rows with a null in any of the four are left out. Groups are reduced to their
+    least and greatest text with map-side combining, and only their members are joined back, a row a group on one side.
     """
     rows = durable(_digests(items.dropna(subset=["kind", "key", "owner", "text"])).distinct())
     groups = rows.groupBy("kind", "form").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("kind", "form")
-    members = durable(rows.join(groups, ["kind", "form"]))
+    return rows.join(groups, ["kind", "form"]).select("kind", "key", "owner", "raw", "form")
+
+
+def alike_classes(members: DataFrame) -> DataFrame:
+    """``kind, form, n_texts, n_members, n_links``: each class of texts that only look the same, with the number of its
+    writings, of its members, and of pairs of members of two owners and two writings.
+
+    Links are counted, not formed: all pairs, less those of one writing, less those of one owner, and those of both again.
+    """
+    cells = members.groupBy("kind", "form", "raw", "owner").agg(F.count(F.lit(1)).alias("n"))
+    square = lambda keys, name: cells.groupBy("kind", "form", *keys).agg(F.sum("n").alias("n")).groupBy("kind", "form").agg(F.sum(F.col("n") * F.col("n")).alias(name), F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"))
+    raw, owner, both = square(["raw"], "same_raw"), square(["owner"], "same_owner").drop("m", "k"), square(["raw", "owner"], "same_both").drop("m", "k")
+    links = (F.col("m") * F.col("m") - F.col("same_raw") - F.col("same_owner") + F.col("same_both")) / 2
+    out = raw.join(owner, ["kind", "form"]).join(both, ["kind", "form"])
+    return out.select("kind", F.lower(F.hex("form")).alias("form"), F.col("k").alias("n_texts"), F.col("m").alias("n_members"), links.cast("long").alias("n_links"))
+
+
+def alike_pairs(members: DataFrame) -> DataFrame:
+    """``kind, key_a, key_b``: the links of the classes of ``members``, as pairs. A pair whose keys have several writings may
+    come several times. Class of equal texts meets class of equal texts, so copies of one text meet no copies of it and the
+    work follows the number of pairs; where classes are enough, :func:`alike_classes` does without."""
+    members = durable(members)
     classes = members.select("kind", "form", "raw").distinct()
     a, b = (classes.withColumnRenamed("raw", f"raw_{x}") for x in "ab")
     couples = a.join(b, ["kind", "form"]).where("raw_a < raw_b")
     one, two = (members.select("kind", "form", F.col("raw").alias(f"raw_{x}"), F.col("key").alias(f"k{x}"), F.col("owner").alias(f"o{x}")) for x in "ab")
     pairs = couples.join(one, ["kind", "form", "raw_a"]).join(two, ["kind", "form", "raw_b"]).where("oa <> ob and ka <> kb")
-    return pairs.select("kind", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+    return pairs.select("kind", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``kind, key_a, key_b`` of the pairs of passages, and of chunks of one strategy, that only look the same."""
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "passages").select(F.lit("passage").alias("kind"), F.col("passage_id").alias("key"), canonical(F.col("passage_id")).alias("owner"), "text")
     c = table(spark, sf_dir, "chunks").select(F.concat(F.lit("chunk "), "strategy").alias("kind"), F.col("chunk_id").alias("key"), canonical(F.col("passage_id")).alias("owner"), "text")
-    return alike_pairs(p.unionByName(c)).withColumn("kind", F.element_at(F.split("kind", " "), 1)).distinct()
+    return p.unionByName(c)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kind, key_a, key_b`` of the pairs of passages, and of chunks of one strategy, that only look the same: the classes
+    of query ``p5_classes``, spelled out."""
+    pairs = alike_pairs(alike_members(_items(spark, sf_dir)))
+    return pairs.withColumn("kind", F.element_at(F.split("kind", " "), 1)).distinct()
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kind, form, n_texts, n_members, n_links`` of every class of texts that only look the same."""
+    return alike_classes(alike_members(_items(spark, sf_dir)))
+
+
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kind, key, form``: the class of every passage and chunk that is in one."""
+    return alike_members(_items(spark, sf_dir)).select("kind", "key", F.lower(F.hex("form")).alias("form")).distinct()
 
 
 def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,5 +251,5 @@ def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_form(table(spark, sf_dir, "chunks"), "chunk_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_passages": p5_passages, "p5_chunks": p5_chunks}
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p5_members": p5_members, "p5_passages": p5_passages, "p5_chunks": p5_chunks}
 ORACLES: dict[str, str] = {}
