@@ -152,8 +152,18 @@ def test_pieces(text, limit, overlap):
         return
     assert got[0][0] == 0 and got[-1][1] == len(text) and all(0 < b - a <= limit for a, b, _ in got)
     assert all(y[0] == x[1] - overlap and y[1] > x[1] for x, y in zip(got, got[1:]))
-    if pieces.longest_stretch(text) <= limit - 2 * overlap - 2:
-        assert all(k != "forced" for _, _, k in got)
+    kinds = {k for _, _, k in got}
+    assert ("forced" in kinds) == bool(len(text) > limit and pieces.stretches(text, limit))
+    longest = max((b - a for a, b in pieces.stretches(text, 0)), default=0)
+    if longest <= limit - 2 * overlap - 2:
+        assert "squeezed" not in kinds
+
+
+def test_unspaced_stops_are_boundaries():
+    kinds = {k for _, _, k in pieces.cut("abcdefghi." * 200, 1200, 120)}
+    assert kinds == {"stop", "end"}
+    assert "forced" not in {k for _, _, k in pieces.cut("a" * 1150 + " " + "b" * 1150, 1200, 120)}
+    assert {k for _, _, k in pieces.cut("x " + " " * 3000 + "y", 1200, 120)} == {"space", "end"}
 
 
 def test_piece_rows(spark):
@@ -165,7 +175,7 @@ def test_piece_rows(spark):
     assert set(got) == {"a", "b", "e"}
     assert got["a"][0].char_span.start == 5 and got["b"][0].char_span is None and got["e"][0].char_span is None
     assert got["a"][1].char_span.start == got["a"][0].char_span.end - 120
-    assert {k: v[0].stretch > 1200 for k, v in got.items()} == {"a": False, "b": True, "e": True}
+    assert {k: any(x.ends == "forced" for x in v) for k, v in got.items()} == {"a": False, "b": True, "e": True}
     assert pieces.oversized_pieces(df.limit(0)).count() == 0
 
 
