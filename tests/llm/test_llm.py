@@ -196,6 +196,30 @@ def test_pair_rules(answer, lang, defect):
     assert pairs.examine(QUERY, answer, lang)["defect"] == defect
 
 
+@pytest.mark.parametrize("answer, lang, expected", [
+    ("The treaty does not include Norway.", "en", None), ("Patients are unable to say that they are ill.", "en", None), ("He said: Sorry, the shop is closed.", "en", None),
+    ("Vegan food does not contain meat.", "en", None), ("The text does not include vowels.", "en", None), ("It is not certain who dug it.", "en", None), ("他不知道自己的父亲是谁。", "zh", None),
+    ("The passages do not mention it.", "en", True), ("I don't know.", "en", True), ("我不知道。", "zh", True), ("不知道。", "zh", True), ("The mill is old.", "en", False), ("मुझे पता नहीं।", "hi", True),
+])
+def test_negative_answers_are_no_refusals(answer, lang, expected):
+    assert pairs.refuses("who made it", answer, lang) is expected
+    assert pairs.examine("who made it", answer, lang)["defect"] == ("refusal" if expected else None)
+
+
+def test_what_only_the_corpus_shows(spark):
+    r = random.Random(12)
+    rows = [(i, f"how old is the {w} mill", f"The {w} mill is said to be {i} years of age and it was built by hand near the river.", "en") for i, w in enumerate(("".join(r.choices("bdgkmnprst", k=6)) for _ in range(150)))]
+    rows += [(500 + i, f"who owns barn {w}", "That does not say anything at all.", "en") for i, w in enumerate("abc")] + [(510, "what is a treaty", "The treaty does not include Norway.", "en")]
+    rows += [(520, "how old is the mill", "Vanha mylly rakennettiin joen rannalle kauan sitten käsin.", "en")]
+    # A limit of 25 characters cuts many answers.
+    rows += [(600 + i, f"who dug canal {i}", f"{w} dug it with their own two hands"[:25], "en") for i, w in enumerate(("".join(r.choices("bdgkmnprst", k=7)).title() for _ in range(30)))]
+    df = spark.createDataFrame(rows, "id int, query string, answer string, lang string")
+    got = {x.id: x.defect for x in pairs.broken_pairs(df).collect()}
+    assert got == {500: "refusal", 501: "refusal", 502: "refusal", 520: "language"} | {600 + i: "truncated" for i in range(30)}
+    spikes = pairs.length_spikes(pairs._examined(df)).collect()
+    assert [(x.lang, x.length) for x in spikes] == [("en", 25)]
+
+
 def test_truncated_pairs(spark):
     good = [(i, f"how long is the Ra{c} canal", f"The Ra{c} canal is {i}.5 km long and was surveyed in 19{i}.", "en") for i, c in enumerate("bcdfghjklmnp", 11)]
     odd = [

@@ -22,7 +22,7 @@ from thornbill.tables import durable, table
 
 # Stand-ins for a missing value, by their letters and digits.
 MISSING = frozenset("null none nil nan na n/a undefined missing unknown empty blank tbd nodata novalue noanswer notavailable notapplicable undef void".split())
-# Phrases that decline or say that one can't answer, by language.
+# Phrases that decline, say that one can't answer, or deny something, by language.
 REFUSALS = {
     "en": r"\b(?:can\s?not|can['’]?t|could not|couldn['’]?t|unable to|not able to|won['’]?t|will not|must decline to|decline to|refuse to|have to decline)\b.{0,40}\b(?:answer|help|assist|respond|reply|provide|comply|say|tell|discuss|share)|\b(?:do not|don['’]?t|does not|doesn['’]?t|did not)\b.{0,20}\b(?:know|mention|say|contain|cover|include|state|have (?:an|the|any|enough))\b|\bno (?:answer|information)\b.{0,30}\b(?:found|given|available)|\b(?:was|were|be|is) not found\b|\btoo little to (?:reply|answer|say)|\boutside of what i\b|\b(?:sorry|apologies|afraid)\b.{0,30}\b(?:unable|not|no|cannot|can['’]?t|decline|outside|little)\b|\bnot (?:sure|certain)\b|\bno idea\b|\bas an ai\b|\b(?:would|could) (?:only |just )?be (?:a guess|guessing|speculati)|\bnothing (?:on|about|regarding|relevant)\b.{0,60}\b(?:turned up|found|appears?|here|given|available)\b|\brephrase (?:your|the) question|\btry (?:another|a different) (?:query|question)|\b(?:sorry|apologies)\s*[,;:!]|\bi['’]?m afraid\b|\bregret(?:fully)?\b",
     "hi": r"उत्तर (?:नहीं|देने में असमर्थ)|जानकारी नहीं|सहायता करना संभव नहीं|नहीं दे सक|नहीं बता सक|नहीं मिला|पता नहीं|मालूम नहीं|असमर्थ|माफ़ (?:कीजिए|करें)|क्षमा (?:करें|कीजिए)|खेद है|प्रश्न बदलकर",
@@ -34,6 +34,19 @@ REFUSALS = {
     "zh": r"无法(?:回答|提供|作答|帮助|协助|得知)|不能(?:回答|提供)|没有(?:找到|给出|提到)|不清楚|不知道|找不到(?:答案)?|未(?:找到|提及)|帮不了|不便回答|抱歉|很遗憾|对不起|换一个问题",
     "th": r"ไม่ทราบ|ไม่สามารถ|ไม่พบคำตอบ|ไม่รู้|ตอบไม่ได้|ขออภัย.*ไม่",
 }
+# What shows, in the same sentence, that such a phrase is about the answering itself: the first person, the texts
+# that were given, or the question.
+FRAMES = {
+    "en": r"\b(?:i|i['’]?m|i['’]?d|we|me|us)\b|\b(?:passages?|pages?|sources?|texts?|context|documents?|excerpts?|articles?|snippets?|materials?)\b.{0,40}\b(?:do|does|did)(?: not|n['’]t) (?:mention|say|contain|cover|include|state|have|provide|give)\s*(?:(?:it|this|that|any|anything|enough|an? answer|the answer|information|details|so|what|which|who|when|where|how)\b|\W*$)|\bsay too little\b|\b(?:no answer|no information|nothing)\b.{0,80}\b(?:passages?|pages?|sources?|texts?|context|documents?|excerpts?|articles?|snippets?|materials?|here)\b|\b(?:the|an|your) (?:answer|question|request|query)\b|\bas an ai\b",
+    "hi": r"\b(?:मैं|मुझे|मेरे|हम|हमें)\b|अंश|प्रश्न|सवाल|इस बारे|इसका उत्तर",
+    "bn": r"আমি|আমার|আমরা|অংশ|প্রশ্ন|এ বিষয়ে",
+    "ta": r"நான்|எனக்கு|என்னால்|பகுதி|கேள்வி|இதற்கு|இது பற்றி",
+    "te": r"నేను|నాకు|భాగా|ప్రశ్న|దీనికి|దీని గురించి",
+    "ur": r"مجھے|(?:^|[،,])\s*میں\b|ہم |اقتباس|سوال|اس بارے|اس کا جواب|معذرت|افسوس",
+    "ja": r"私|文章|資料|段落|抜粋|質問|その件|申し訳|残念|(?:お?答え|お応え|お手伝い|かね)|(?:^|[、，,])(?:分かり|わかり|存じ)ません",
+    "zh": r"我|段落|文中|原文|资料|文本|问题|答案|(?:^|[，,、])(?:抱歉|很遗憾|对不起|不清楚|不知道|无法|不便|帮不了)",
+    "th": r"ฉัน|ผม|เรา|ข้อมูล|คำถาม|คำตอบ|ขออภัย|ตอบ",
+}
 # Frequent function words that tell languages of Latin script apart.
 FUNCTION_WORDS = {
     "en": "the of is was in by from how it its and on to an that this are were with for at as their not be has have had after about most it's lies up end",
@@ -59,6 +72,10 @@ _SCRIPT = {k: regex.compile(rf"\p{{{v}}}") for k, v in _BLOCKS.items()} | {"KANA
 #: Share of an ending's occurrences that must close a sentence for it to be one; closed sentences for each that goes on behind
 #: the same number, up to which the closed are cut.
 FINAL_SHARE, CLOSED_SHARE = 0.1, 1.0
+#: Different queries that must have got the same answer, word for word and with nothing of the query, for a denial to be a
+#: refusal without saying so; share of a language's answers that a word must stand in to be common, and words without any
+#: common one that make an answer one of another language.
+SAME_ANSWER, COMMON_SHARE, STRANGE_WORDS = 3, 0.01, 4
 
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
 _ENDS = regex.compile(r"[.!?。！？।॥۔؟|．｡][\s”’»」』）)\]\"']*$")
@@ -91,13 +108,33 @@ def copies_query(query: str, answer: str) -> bool:
 _REFUSAL = {k: regex.compile(former().form(unicodedata.normalize("NFC", v)), regex.I | regex.S) for k, v in REFUSALS.items()}
 
 
-def refuses(query: str, answer: str, lang: str) -> bool:
-    """Declines, or says that it cannot answer, and gives no number that the query doesn't have."""
-    text = former().form(answer)
+_FRAME = {k: regex.compile(former().form(unicodedata.normalize("NFC", v)), regex.I) for k, v in FRAMES.items()}
+_CLAUSE = regex.compile(r"[.!?。！？।॥۔;；]+")
+
+
+def refuses(query: str, answer: str, lang: str) -> bool | None:
+    """Whether an answer declines, or says that it cannot answer, and gives no number that the query doesn't have; None for a
+    denial of which only its repetition under other queries could show that it is no answer."""
     known = set(regex.findall(r"\p{Nd}+", query))
     if any(d not in known for d in regex.findall(r"\p{Nd}+", answer)):
         return False
-    return any(p.search(text) for k, p in _REFUSAL.items() if k == lang or k == "en" or lang not in _REFUSAL)
+    found: bool | None = False
+    for clause in _CLAUSE.split(former().form(answer)):
+        for k, phrase in _REFUSAL.items():
+            if (k == lang or k == "en" or lang not in _REFUSAL) and phrase.search(clause):
+                if _FRAME[k].search(clause):
+                    return True
+                found = None
+    return found
+
+
+def strange(query: str, answer: str, lang: str) -> list[str] | None:
+    """The words of small letter of an answer in Latin script that aren't the query's; None for too few to tell its language."""
+    if lang in SCRIPTS_OF or lang in SCRIPT_LANGUAGE.values() and lang != "en":
+        return None
+    known = set(_WORDS.findall(former().form(query).lower()))
+    words = [w for w in _WORDS.findall(_PARENTHESES.sub(" ", former().form(answer))) if w.islower() and w not in known and _SCRIPT["LATIN"].match(w)]
+    return sorted(set(words)) if len(words) >= STRANGE_WORDS else None
 
 
 def other_language(query: str, answer: str, lang: str) -> bool:
@@ -171,10 +208,11 @@ def last_sentence(answer: str, lang: str) -> tuple[str, bool, list[str]]:
 def examine(query: str | None, answer: str | None, lang: str | None) -> dict:
     """The rules that look at one pair, and what the corpus-wide comparison needs: the masked last sentence, and those before it."""
     query, lang = query or "", base_language(lang)
-    out = {"defect": None, "mask": None, "closed": False, "value": False, "dangling": False, "length": len(answer or ""), "ending": None, "name": False, "inside": [], "before": []}
+    out = {"defect": None, "mask": None, "closed": False, "value": False, "dangling": False, "length": len(answer or ""), "ending": None, "name": False, "inside": [], "before": [], "same": None, "words": None}
     if answer is None or is_empty(answer):
         return out | {"defect": "empty"}
-    if refuses(query, answer, lang):
+    declines = refuses(query, answer, lang)
+    if declines:
         return out | {"defect": "refusal"}
     if copies_query(query, answer):
         return out | {"defect": "copy"}
@@ -189,23 +227,23 @@ def examine(query: str | None, answer: str | None, lang: str | None) -> dict:
     dangling = bool(_DANGLING.search(answer.rstrip().rstrip(INVISIBLE)))
     # One or two words without a number that aren't the query's may be a bare value too.
     name = alone and len(tail) <= 2 and not regex.search("[0¤]", masked) and not _CJK.search(masked)
-    return out | {"mask": masked, "closed": closed, "value": value, "dangling": dangling, "ending": ending, "name": name, "inside": inside, "before": [mask(query, x) for x in others]}
+    return out | {"mask": masked, "closed": closed, "value": value, "dangling": dangling, "ending": ending, "name": name, "inside": inside, "before": [mask(query, x) for x in others], "same": mask(query, answer) if declines is None else None, "words": strange(query, answer, lang)}
 
 
-_EXAMINED = "id long, lang string, defect string, mask string, closed boolean, value boolean, dangling boolean, length int, ending string, name boolean, inside array<string>, before array<string>, pair long"
+_EXAMINED = "id long, lang string, defect string, mask string, closed boolean, value boolean, dangling boolean, length int, ending string, name boolean, inside array<string>, before array<string>, same string, words array<string>, pair long, asked long"
 
 
 def _examined(pairs: DataFrame) -> DataFrame:
-    names = ["defect", "mask", "closed", "value", "dangling", "length", "ending", "name", "inside", "before"]
-    types = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), *[pa.list_(pa.string())] * 2]
+    names = ["defect", "mask", "closed", "value", "dangling", "length", "ending", "name", "inside", "before", "same", "words"]
+    types = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), *[pa.list_(pa.string())] * 2, pa.string(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [examine(q, a, lang) for q, a, lang in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             langs = pa.array([base_language(x) for x in batch.column(3).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), langs, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, types)), batch.column(4)], names=["id", "lang", *names, "pair"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), langs, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, types)), *batch.columns[4:]], names=["id", "lang", *names, "pair", "asked"])
 
-    return pairs.select(F.col("id").cast("long"), "query", "answer", "lang", F.xxhash64("query", "answer").alias("pair")).mapInArrow(run, _EXAMINED)
+    return pairs.select(F.col("id").cast("long"), "query", "answer", "lang", F.xxhash64("query", "answer").alias("pair"), F.xxhash64("query").alias("asked")).mapInArrow(run, _EXAMINED)
 
 
 def shortened(masks: DataFrame) -> DataFrame:
@@ -233,10 +271,30 @@ def length_spikes(examined: DataFrame) -> DataFrame:
     return counts.withColumn("around", F.sum("count").over(order) - F.col("count")).where("count >= 20 and count > 10 * around").select("lang", "length")
 
 
+def repeated_denials(examined: DataFrame) -> DataFrame:
+    """``lang, same``: denials that at least SAME_ANSWER different queries got, with no word or number of any of them."""
+    rows = examined.where("same is not null and not same rlike '[0¤]'").select("lang", "same", "asked").distinct()
+    return rows.groupBy("lang", "same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAME_ANSWER).select("lang", "same")
+
+
+def without_common_words(examined: DataFrame) -> DataFrame:
+    """``id``: answers in Latin script with several words, none of which stands in at least COMMON_SHARE of the language's
+    answers, each pair counted once. Of a language only as many words can be common as answers have in COMMON_SHARE."""
+    rows = examined.where("defect is null and words is not null")
+    distinct = rows.dropDuplicates(["lang", "pair"])
+    of = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n_answers"))
+    counts = distinct.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.join(of, "lang").where(F.col("n") >= F.greatest(COMMON_SHARE * F.col("n_answers"), F.lit(2.0))).select("lang", "word")
+    known = rows.select("id", "lang", F.explode("words").alias("word")).join(common, ["lang", "word"], "left_semi").select("id").distinct()
+    enough = of.where(F.col("n_answers") >= 1 / COMMON_SHARE).select("lang")
+    return rows.join(enough, "lang", "left_semi").select("id").distinct().join(known, "id", "left_anti")
+
+
 def broken_pairs(pairs: DataFrame) -> DataFrame:
     """``id, defect``: the pairs of no use, each with one defect; rules apply in the order empty, refusal, copy, language,
     truncated. ``pairs`` has ``id long, query string, answer string, lang string``. A null answer is empty; a null query
-    is never copied; without a language no other language is found.
+    is never copied; without a language no other language is found. What only the corpus shows: a denial is a refusal if
+    other queries got it too, and an answer without any common word of its language is one of another language.
 
     An open last sentence (no terminator, or one that trails off) is whole if the corpus has it closed, and broken off if
     another sentence of the corpus goes on from it or its last words hardly ever end a sentence. A bare value is never broken
@@ -244,6 +302,10 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     number's point, if more sentences go on from there. Only shares over distinct pairs decide, whatever the number of rows.
     """
     rows = durable(_examined(pairs))
+    denials = repeated_denials(rows).withColumn("denial", F.lit("refusal"))
+    foreign = without_common_words(rows).withColumn("foreign", F.lit("language"))
+    later = F.when(F.col("defect").isNull(), F.coalesce("denial", "foreign"))
+    rows = durable(rows.join(denials, ["lang", "same"], "left").join(foreign, "id", "left").withColumn("defect", F.coalesce("defect", later)).drop("denial", "foreign", "same", "words"))
     fine = rows.where("defect is null")
     distinct = fine.where("not value").dropDuplicates(["lang", "pair"])
     masks = distinct.groupBy("lang", "mask").agg(F.count_if("closed").alias("n_closed"), F.count(F.lit(1)).alias("n"))
