@@ -41,13 +41,12 @@ def chunk_question_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.semantic(corpus.passages(spark, d)).select("chunk_id", "passage_id", "position", "text")
+    return chunking.semantic(corpus.passages(spark, d)).select("chunk_id", "passage_id", "position", F.col("char_span.start").alias("a"), F.col("char_span.end").alias("b"), "text")
 
 
 def char_spans(spark: SparkSession, d: str) -> DataFrame:
     """Spans of the sentences in the raw text, by the running cursor."""
-    p = corpus.passages(spark, d).withColumn("s", X.sentences(F.col("text")))
-    return p.select("passage_id", F.posexplode(chunking.running_spans(F.col("text"), F.col("s"))).alias("pos", "span")).select("passage_id", "pos", F.col("span.start").alias("a"), F.col("span.end").alias("b"))
+    return chunking.sentence_spans(corpus.passages(spark, d)).select("passage_id", "pos", F.col("start").alias("a"), F.col("end").alias("b"))
 
 
 def chunk_union_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +135,11 @@ c1 as (select passage_id, grp as position, string_agg(sent, ' ' order by pos) as
 """
 
 
+_SPANS = """w as (
+  select s.passage_id, pos, case when instr(p.text, sent) > 0 then instr(p.text, sent) - 1 else 0 end a, case when instr(p.text, sent) > 0 then instr(p.text, sent) - 1 else 0 end + length(sent) b from s join p using (passage_id) where pos = 0
+  union all select s.passage_id, s.pos, case when instr(substr(p.text, w.b + 1), s.sent) > 0 then w.b + instr(substr(p.text, w.b + 1), s.sent) - 1 else w.b end, case when instr(substr(p.text, w.b + 1), s.sent) > 0 then w.b + instr(substr(p.text, w.b + 1), s.sent) - 1 else w.b end + length(s.sent) from w join s on s.passage_id = w.passage_id and s.pos = w.pos + 1 join p on p.passage_id = s.passage_id)"""
+
+
 def _sliding(window: int, step: int) -> str:
     return f"""with {Q.P}, t as (select passage_id, {Q.words('text')} w from p), k as (select passage_id, w, unnest(range(greatest(0, ceil((len(w) - {window}) / {step}.0))::int + 1)) as position from t where len(w) > 0)
 select {Q.cid('passage_id', 'C2', 'position')} chunk_id, passage_id, position, array_to_string(w[position * {step} + 1 : position * {step} + {window}], ' ') as text from k"""
@@ -152,11 +156,9 @@ ORACLES = {
 select {Q.cid('passage_id', 'C3', 'position')} chunk_id, passage_id, 'C3' strategy, position, {Q.cid('passage_id', 'C3P', '0')} parent_id, a, b, text from c3
 union all select {Q.cid('passage_id', 'C3P', '0')}, passage_id, 'C3P', 0, null, 0, length({Q.clean('text')}), {Q.clean('text')} from p""",
     "chunk_question_keys": f"with {Q.P}, k as (select passage_id, unnest(questions) x, generate_subscripts(questions, 1) - 1 as position from p) select {Q.cid('passage_id', 'C5', 'position')} chunk_id, passage_id, position, passage_id answers_passage, {Q.clean('x')} as text from k where {Q.clean('x')} <> ''",
-    "chunk_semantic": _SEMANTIC + f"select {Q.cid('passage_id', 'C1', 'position')} chunk_id, passage_id, position, text from c1",
-    "char_spans": f"""with recursive {Q.P}, {Q.S}, w as (
-  select s.passage_id, pos, case when instr(p.text, sent) > 0 then instr(p.text, sent) - 1 else 0 end a, length(sent) n from s join p using (passage_id) where pos = 0
-  union all select s.passage_id, s.pos, case when instr(substr(p.text, w.a + w.n + 1), s.sent) > 0 then w.a + w.n + instr(substr(p.text, w.a + w.n + 1), s.sent) - 1 else w.a + w.n end, length(s.sent) from w join s on s.passage_id = w.passage_id and s.pos = w.pos + 1 join p on p.passage_id = s.passage_id)
-select passage_id, pos, a, a + n as b from w""",
+    "chunk_semantic": _SEMANTIC + f""", {_SPANS}, cs as (select passage_id, grp as position, min(a) a, max(b) b from g join w using (passage_id, pos) group by all)
+select {Q.cid('passage_id', 'C1', 'position')} chunk_id, passage_id, position, a, b, text from c1 join cs using (passage_id, position)""",
+    "char_spans": f"with recursive {Q.P}, {Q.S}, {_SPANS} select passage_id, pos, a, b from w",
     "chunk_union_counts": _SEMANTIC + f""", {_CHILD}, t as (select passage_id, {Q.words('text')} w from p), k as (select w, unnest(range(greatest(0, ceil((len(w) - 256) / 192.0))::int + 1)) as position from t where len(w) > 0), u as (select unnest(questions) x from p),
 r as (select 'C1' strategy, text from c1 union all select 'C2', array_to_string(w[position * 192 + 1 : position * 192 + 256], ' ') from k union all select 'C3', text from c3 union all select 'C5', {Q.clean('x')} from u where {Q.clean('x')} <> '')
 select strategy, count(*) n, sum(length(text))::bigint chars from r group by strategy""",
