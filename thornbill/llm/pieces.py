@@ -156,7 +156,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
-    "p2_invariants": "select chunk_id, 0 as first, 0 left_over, 0::bigint gaps, true within, 120 least_shared, 120 most_shared, true verbatim from chunks where length(text) > 1200 group by chunk_id",
+    "p2_invariants": 'select chunk_id, 0 as first, 0 as left_over, 0::bigint as gaps, true as "within", 120 as least_shared, 120 as most_shared, true as verbatim from chunks where length(text) > 1200 group by chunk_id',
     "p2_found": rf"""
 select chunk_id, case when max(stretch) > {LIMIT} then 'forced' else 'natural' end as cut
 from (select chunk_id, list_max(list_transform(regexp_split_to_array(text, '[{WS}.!?。！？।॥۔؟|…]'), lambda x: length(x))) stretch from chunks where length(text) > {LIMIT})
