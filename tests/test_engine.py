@@ -157,7 +157,8 @@ def test_best_arm_and_post_filters(spark):
     from thornbill.functions import text as X
 
     arms = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.25)], "arm string, recall_at_5 double")
-    assert tuple(evaluate.best_arm(arms).first()) == ("a", 1.0)
+    order = [("c", None, False), ("b", None, False), ("a", None, False)]
+    assert tuple(evaluate.best_arm(arms, order).first()) == ("b", 1.0)
     said = spark.createDataFrame([("Yes [1].",), ("Yes.",), ("NOT_IN_CONTEXT [1]",), (None,)], "t string")
     assert [r[0] for r in said.select(X.cites(F.col("t"))).collect()] == [True, False, False, None]
 

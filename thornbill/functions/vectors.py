@@ -79,11 +79,33 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, width or 1))
 
 
+def _merged(held: tuple | None, row_ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows for each query (a column) of those held and new ones: ids, scores, scores rounded to 9 places, in
+    which ties go to the smaller id. Columns in which no new row reaches the last one held stay as they are."""
+    by_id = np.argsort(row_ids, kind="stable")
+    row_ids, score = row_ids[by_id], score[by_id]
+    order = np.round(score, 9)
+    first = np.argsort(-order, axis=0, kind="stable")[:k]
+    new = row_ids[first], np.take_along_axis(score, first, 0), np.take_along_axis(order, first, 0)
+    if held is None:
+        return new
+    changed = np.arange(score.shape[1]) if len(held[0]) < k else np.flatnonzero(new[2][0] >= held[2][-1])
+    ids, scores, orders = (np.concatenate([x[:, changed], y[:, changed]]) for x, y in zip(held, new))
+    at = np.argsort(ids, axis=0, kind="stable")
+    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(orders, at, 0), axis=0, kind="stable"), 0)[:k]
+    picked = [np.take_along_axis(x, at, 0) for x in (ids, scores, orders)]
+    if len(changed) == score.shape[1]:
+        return tuple(picked)
+    for x, y in zip(held, picked):
+        x[:, changed] = y
+    return held
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, qid: str = "qid", qvec: str = "vec", rid: str = "rid", vec: str = "vec", by: str | None = None) -> DataFrame:
     """``qid, rid, score`` (and ``by``): the ``k`` rows of highest cosine for every query, for each value of ``by`` apart.
 
-    Exact: every row is compared with every query, by matrix products over Arrow batches, and each batch keeps only its
-    best ``k`` before the shuffle. Queries travel with the code in blocks of QUERY_BLOCK; rows are never collected. Ties
+    Exact: every row is compared with every query, by matrix products over Arrow batches, and each task keeps only its best
+    ``k`` of a query, whatever it reads. Queries travel with the code in blocks of QUERY_BLOCK; rows are never collected. Ties
     go to the smaller ``rid`` after rounding to 9 places. Rows and queries without a vector have no hits.
     """
     from pyspark.sql import Window as W
@@ -105,22 +127,24 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, qid: str = "qid", qvec:
         lengths = (q * q).sum(1)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, lengths=lengths) -> Iterator[pa.RecordBatch]:
+            best: dict = {}  # group → ids, scores and rounded scores, at most k rows by as many queries as a block has
+            types = None
             for batch in batches:
+                types = batch.schema.types
                 for i in range(0, len(batch), 2048):
                     part = batch.slice(i, 2048)
                     m = _matrix(part.column(1))
                     squares = np.outer((m * m).sum(1), lengths)
                     with np.errstate(divide="ignore", invalid="ignore"):
                         score = np.where(squares > 0, (m @ q.T) / np.sqrt(squares), 0.0)
-                    order = np.round(score, 9)
                     group = np.array(part.column(2).to_pylist(), dtype=object)
                     row_ids = np.array(part.column(0).to_pylist(), dtype=object)
                     for g in set(group):
                         at = np.flatnonzero(group == g)
-                        at = at[np.argsort(row_ids[at], kind="stable")]
-                        best = np.argsort(-order[at], axis=0, kind="stable")[:k]
-                        rows_at, cols = at[best].T.ravel(), np.repeat(np.arange(len(ids)), len(best))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[cols].tolist(), qtype), pa.array(row_ids[rows_at].tolist(), part.schema.types[0]), pa.array([g] * len(cols), part.schema.types[2]), pa.array(score[rows_at, cols])], names=names)
+                        best[g] = _merged(best.get(g), row_ids[at], score[at], k)
+            for g, (held, score, _) in best.items():
+                cols = np.tile(np.arange(len(ids)), len(held))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cols].tolist(), qtype), pa.array(held.ravel().tolist(), types[0]), pa.array([g] * len(cols), types[2]), pa.array(score.ravel())], names=names)
 
         parts.append(rows.mapInArrow(run, f"`{qid}` {keys[qid]}, `{rid}` {keys[rid]}, `{names[2]}` {keys[names[2]]}, score double"))
     if not parts:

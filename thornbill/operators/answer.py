@@ -24,11 +24,20 @@ def candidates(hits: DataFrame, most: int = C.MAX_CANDIDATES) -> DataFrame:
     return s.where(F.col("idx") < most).drop("pos")
 
 
-def extract(queries: DataFrame, hits: DataFrame, embedder: V.Embedder | None = None) -> DataFrame:
+def with_vectors(candidates: DataFrame, embedder: V.Embedder | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Candidates with the vector of their sentence in ``svec``: the known one of the same passage and text, and only where
+    there is none a new one."""
+    if known is None:
+        return V.embed(candidates, "sent", embedder, "svec")
+    found = candidates.join(known, ["passage_id", "sent"], "left").select(*candidates.columns, "svec")
+    return found.where("svec is not null").unionByName(V.embed(found.where("svec is null").drop("svec"), "sent", embedder, "svec"))
+
+
+def extract(queries: DataFrame, hits: DataFrame, embedder: V.Embedder | None = None, known: DataFrame | None = None) -> DataFrame:
     """``qid, answer, confidence, passage_id, excerpt``: the best sentence by cosine, overlap and intent, with at most one more
     of its passage that scores nearly as well, in their order in the text. Ties go to the later candidate. Queries without
-    any candidate have no row."""
-    c = V.embed(candidates(hits), "sent", embedder, "svec")
+    any candidate have no row. Vectors of sentences that are ``known`` (``passage_id, sent, svec``) aren't made again."""
+    c = with_vectors(candidates(hits), embedder, known)
     q = V.embed(queries.select("qid", "query"), "query", embedder, "qvec").withColumn("qtokens", X.tokens(F.col("query")))
     score = 0.70 * V.cosine(F.col("qvec"), F.col("svec")) + 0.30 * X.overlap(F.col("qtokens"), F.col("sent")) + X.intent_bonus(F.col("query"), F.col("sent"))
     s = c.join(q, "qid").select("qid", "idx", "sent", "passage_id", "hit_rank", F.round(score, 9).alias("score"))
@@ -62,8 +71,9 @@ def ask(asks: DataFrame, index: Index, centroids: DataFrame | None = None, optio
     Gates come in order: speech confidence, unsafe, contentless, off topic, retrieval floor, extractive floor or synthesis.
     Later stages see only questions that are still open. A response has ``path`` (extractive or refusal), ``refused`` (the
     reason), ``answer``, ``confidence``, ``passage_id`` and ``escalate`` (refused for its answer, though there were hits).
-    Without a language the query's own is detected.
+    Without a language the query's own is detected. Centroids not given are those of the index, if it has any.
     """
+    centroids = index.centroids if centroids is None else centroids
     q = asks.withColumn("lang", F.coalesce("lang", X.detect_lang(F.col("query")))).withColumn("guard", X.check_input(F.col("query"), F.col("stt_confidence"), floors.stt))
     open_ = q.where("guard is null")
     if centroids is not None:
@@ -74,7 +84,7 @@ def ask(asks: DataFrame, index: Index, centroids: DataFrame | None = None, optio
         q = q.withColumn("off", F.lit(None).cast("boolean"))
     hits = retrieve(open_, index, options)
     top = hits.groupBy("qid").agg(F.round(F.max("dense_score"), 9).alias("top_score"))
-    r = q.join(top, "qid", "left").join(extract(open_, hits, index.embedder), "qid", "left")
+    r = q.join(top, "qid", "left").join(extract(open_, hits, index.embedder, index.sentences), "qid", "left")
     weak = F.coalesce(F.col("top_score") < floors.retrieval, F.lit(True))
     forced = F.coalesce(F.col("force_path") == "generative", F.lit(False))
     synthesis = F.col("force_path").isNull() & X.needs_synthesis(F.col("query"), F.coalesce("confidence", F.lit(0.0)))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from thornbill import config as C
 from thornbill.functions import vectors as V
-from thornbill.tables import durable
 
 
 def seed_centroids(rows: DataFrame, k: int = C.CENTROIDS, rid: str = "rid") -> DataFrame:
@@ -77,7 +76,8 @@ def fit(rows: DataFrame, k: int = C.CENTROIDS, steps: int = C.KMEANS_STEPS, rid:
     """``cid, vec`` after ``steps`` steps from the smallest ids. Only the centroids come to the driver."""
     c = seed_centroids(rows, k, rid)
     for _ in range(steps):
-        c = durable(step(rows, c).select("cid", "vec"))
+        done = step(rows, c).select("cid", "vec").collect()  # k rows
+        c = rows.sparkSession.createDataFrame(done, "cid int, vec array<double>")
     return c
 
 

@@ -33,7 +33,7 @@ def ablation(queries: DataFrame, index: Index, arms: list = C.ARMS, top_k: int =
     """
     q = V.embed(queries, "query", index.embedder)
     dense = durable(V.nearest(q, index.chunks, pool, rid="chunk_id", by="strategy"))
-    words = durable(lexical.top(lexical.score(queries, index.chunks), pool * C.LEXICAL_OVERFETCH).join(index.chunks.select("chunk_id", "strategy"), "chunk_id"))
+    words = durable(lexical.best(queries, index.lexicon or index.chunks, pool * C.LEXICAL_OVERFETCH).join(index.chunks.select("chunk_id", "strategy"), "chunk_id"))
     out = None
     for name, strategies, use_lexical in arms:
         d = dense if strategies is None else dense.where(F.col("strategy").isin(strategies))
@@ -48,9 +48,11 @@ def ablation(queries: DataFrame, index: Index, arms: list = C.ARMS, top_k: int =
     return out
 
 
-def best_arm(arms: DataFrame) -> DataFrame:
-    """``arm, lift``: the arm of highest recall, the first by name on ties, and its lift over the lowest."""
-    return arms.agg(F.min_by("arm", F.struct(-F.col("recall_at_5"), "arm")).alias("arm"), F.when(F.min("recall_at_5") > 0, F.round(F.max("recall_at_5") / F.min("recall_at_5") - 1, 6)).alias("lift"))
+def best_arm(arms: DataFrame, order: list = C.ARMS) -> DataFrame:
+    """``arm, lift``: the arm of highest recall, on ties the first of ``order``, and its lift over the first arm of all."""
+    place = F.array_position(F.array(*(F.lit(a[0]) for a in order)), F.col("arm"))
+    base = F.coalesce(F.max(F.when(place == 1, F.col("recall_at_5"))), F.lit(0.0))
+    return arms.agg(F.min_by("arm", F.struct(-F.col("recall_at_5"), place)).alias("arm"), F.round((F.max("recall_at_5") - base) / F.greatest(base, F.lit(1e-9)), 6).alias("lift"))
 
 
 def bench_counters(rows: DataFrame, groups: list[str]) -> DataFrame:

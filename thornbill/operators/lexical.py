@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,15 +37,71 @@ def idf(posting: DataFrame, n: int) -> DataFrame:
     return d.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def score(queries: DataFrame, chunks: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+@dataclass
+class Lexicon:
+    """What lexical search reads: ``postings`` (``term, chunk_id, tf, dl``), ``terms`` (``term, df, idf``), the number of chunks
+    and their mean length."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+
+
+def lexicon(chunks: DataFrame, only: DataFrame | None = None) -> Lexicon:
+    """The lexicon of ``chunks``, of the terms of ``only`` where given. Postings are ordered by term and chunk, a frequent term
+    over several files, so that a search reads little but its own terms."""
+    p = postings(chunks, only).select("term", "chunk_id", "tf", "dl")
+    if only is None:
+        p = p.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    p = durable(p)
+    n, avgdl = corpus_stats(chunks).first()  # one row
+    return Lexicon(p, durable(idf(p, n)), n, avgdl)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``qid, term, m``: the distinct terms of every query and how often it has each."""
+    return queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("m"))
+
+
+def _weight(lex: Lexicon, k1: float, b: float) -> Column:
+    """What one posting adds to the score of a query that has its term ``m`` times."""
+    return F.col("m") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (lex.avgdl or 1.0)))
+
+
+def score(queries: DataFrame, chunks: DataFrame | Lexicon, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
     """``qid, chunk_id, score`` of every query and chunk that share a term; repeated query terms count repeatedly."""
-    q = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("m"))
-    stats = corpus_stats(chunks)
-    p = durable(postings(chunks, q))  # of the queries' terms only; read for frequencies and again for weights
-    n, avgdl = stats.first()  # one row
-    w = p.join(idf(p, n), "term")
-    w = w.withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))))
-    return q.join(w.select("term", "chunk_id", "w"), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("m") * F.col("w")).alias("score"))
+    q = query_terms(queries)
+    lex = chunks if isinstance(chunks, Lexicon) else lexicon(chunks, q)
+    w = q.join(lex.terms, "term").join(lex.postings, "term")
+    return w.groupBy("qid", "chunk_id").agg(F.sum(_weight(lex, k1, b)).alias("score"))
+
+
+def best(queries: DataFrame, chunks: DataFrame | Lexicon, k: int, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+    """The ``k`` best of :func:`score` for every query, exactly, without scoring every chunk that has a frequent term.
+
+    No posting adds more than ``m * idf * (k1 + 1)``. The rarest terms of a query give a first list, whose k-th score is a
+    floor; the terms whose most together stays below the floor can't lift a chunk over it alone. So only chunks that have
+    another term are candidates, those that can't reach the floor any more are dropped, and the frequent terms are looked
+    up for the rest.
+    """
+    q = query_terms(queries)
+    lex = chunks if isinstance(chunks, Lexicon) else lexicon(chunks, q)
+    t = durable(q.join(lex.terms, "term").withColumn("most", F.col("m") * F.col("idf") * (k1 + 1)))  # a row a query and term
+    rare_first = W.partitionBy("qid").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
+    rare = t.withColumn("before", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(F.col("before") < 2 * k)
+    weight = _weight(lex, k1, b)
+    first = rare.join(lex.postings, "term").groupBy("qid", "chunk_id").agg(F.sum(weight).alias("s"))
+    kth = first.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.col("s").desc()))).where(F.col("r") <= k)
+    floor = kth.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min("s") - 1e-7).otherwise(0.0).alias("floor"))
+    small_first = W.partitionBy("qid").orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = durable(t.join(floor, "qid").withColumn("weak", F.sum("most").over(small_first) < F.col("floor")))
+    rest = t.groupBy("qid").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    strong = t.where("not weak").join(lex.postings, "term").groupBy("qid", "chunk_id").agg(F.sum(weight).alias("s"))
+    held = durable(strong.join(rest, "qid").where("s + rest >= floor").select("qid", "chunk_id", "s"))
+    weak = held.select("qid", "chunk_id").join(t.where("weak").select("qid", "term", "m", "idf"), "qid").join(lex.postings, ["term", "chunk_id"])
+    more = weak.select("qid", "chunk_id", weight.alias("s"))
+    return top(held.unionByName(more).groupBy("qid", "chunk_id").agg(F.sum("s").alias("score")), k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -52,11 +110,11 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int, strategies: tuple[str, ...] | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, k: int, strategies: tuple[str, ...] | None = None, lex: Lexicon | None = None) -> DataFrame:
     """The lexical top-k. A strategy filter applies after scoring, to six times as many hits, so fewer than ``k`` may be left;
     document frequencies stay those of all strategies."""
     if strategies is None:
-        return top(score(queries, chunks), k)
-    many = top(score(queries, chunks), k * C.LEXICAL_OVERFETCH)
+        return best(queries, lex or chunks, k)
+    many = best(queries, lex or chunks, k * C.LEXICAL_OVERFETCH)
     kept = many.join(chunks.where(F.col("strategy").isin(list(strategies))).select("chunk_id"), "chunk_id", "left_semi")
     return top(kept.drop("rank"), k)

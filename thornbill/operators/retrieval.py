@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thornbill import config as C
 from thornbill.config import RetrieveOptions
+from thornbill.functions import text as X
 from thornbill.functions import vectors as V
-from thornbill.operators import chunking, lexical
+from thornbill.operators import chunking, domain, lexical
+from thornbill.sources import sinks
 from thornbill.tables import durable
 
 NO_RANK = 1_000_000
@@ -19,11 +21,17 @@ NO_RANK = 1_000_000
 
 @dataclass
 class Index:
-    """``chunks`` with their vector in ``vec`` (parents excluded), ``parents`` (``chunk_id, passage_id, text``)."""
+    """``chunks`` with their vector in ``vec`` (parents excluded), ``parents`` (``chunk_id, passage_id, text``). A stored one
+    also has its ``lexicon``, the vectors of its ``sentences`` (``passage_id, sent, svec``) and the ``centroids`` and the
+    threshold ``tau`` of its gate."""
 
     chunks: DataFrame
     parents: DataFrame
     embedder: V.Embedder | None = None
+    lexicon: lexical.Lexicon | None = None
+    sentences: DataFrame | None = None
+    centroids: DataFrame | None = None
+    tau: float = C.DOMAIN_TAU
 
 
 def build_index(passages: DataFrame, embedder: V.Embedder | None = None) -> Index:
@@ -36,6 +44,45 @@ def index_of(chunks: DataFrame, embedder: V.Embedder | None = None) -> Index:
     return Index(V.embed(chunks.where("strategy <> 'C3P'"), "text", embedder), chunks.where("strategy = 'C3P'").select("chunk_id", "passage_id", "text"), embedder)
 
 
+def sentence_vectors(parents: DataFrame, embedder: V.Embedder | None = None) -> DataFrame:
+    """``passage_id, sent, svec``: the vector of every distinct sentence of a passage."""
+    s = parents.select("passage_id", F.explode(X.sentences(F.col("text"))).alias("sent")).distinct()
+    return V.embed(s, "sent", embedder, "svec")
+
+
+def upsert(index: Index, chunks: DataFrame) -> Index:
+    """The index with ``chunks`` (of columns as cut, parents among them) in place of those that have the same chunk_id; of
+    several new ones with one id the greatest text counts. Statistics, centroids and sentences are those of a new index."""
+    rest = [c for c in chunks.columns if c != "chunk_id"]
+    new = chunks.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), "text").alias("c")).select("chunk_id", "c.*")
+    added = index_of(new, index.embedder)
+    gone = new.select("chunk_id")
+    keep = lambda old, more: old.join(gone, "chunk_id", "left_anti").select(*old.columns).unionByName(more.select(*old.columns))
+    return Index(keep(index.chunks, added.chunks), keep(index.parents, added.parents), index.embedder)
+
+
+def save(index: Index, path: str, tau: float = C.DOMAIN_TAU, steps: int = C.KMEANS_STEPS) -> None:
+    """Writes an index with all that searching and answering need: chunks and their vectors, parents, postings, terms,
+    sentence vectors, centroids, and what describes them. Nothing is encoded again when it is loaded."""
+    embedder = index.embedder
+    sinks.save_snapshot({"chunks": index.chunks, "parents": index.parents}, path)
+    spark = index.chunks.sparkSession
+    chunks, parents = (spark.read.parquet(f"{path}/{k}") for k in ("chunks", "parents"))
+    lex = index.lexicon or lexical.lexicon(chunks.select("chunk_id", "text"))
+    centroids = index.centroids or domain.fit(chunks.select(F.col("chunk_id").alias("rid"), "vec"), steps=steps)
+    sentences = index.sentences or sentence_vectors(parents, embedder)
+    dim = chunks.where("vec is not null").select(F.size("vec")).limit(1).collect()
+    sinks.save_snapshot({"postings": lex.postings, "terms": lex.terms, "sentences": sentences, "centroids": centroids}, f"{path}/parts", {"n": lex.n, "avgdl": lex.avgdl, "dim": dim[0][0] if dim else 0, "tau": tau})
+
+
+def load(spark: SparkSession, path: str, embedder: V.Embedder | None = None) -> Index:
+    """A saved index."""
+    tables, _ = sinks.load_snapshot(spark, path)
+    parts, meta = sinks.load_snapshot(spark, f"{path}/parts")
+    lex = lexical.Lexicon(parts["postings"], parts["terms"], meta["n"], meta["avgdl"])
+    return Index(tables["chunks"], tables["parents"], embedder, lex, parts["sentences"], parts["centroids"], meta["tau"])
+
+
 def dense_search(queries: DataFrame, index: Index, k: int, strategies: tuple[str, ...] | None = None) -> DataFrame:
     """``qid, chunk_id, dense_score, dense_rank``; a strategy filter applies before the search."""
     chunks = index.chunks if strategies is None else index.chunks.where(F.col("strategy").isin(list(strategies)))
@@ -94,7 +141,7 @@ def retrieve(queries: DataFrame, index: Index, options: RetrieveOptions = Retrie
     several times.
     """
     dense = dense_search(queries, index, options.pool, options.strategies)
-    words = lexical.search(queries, index.chunks, options.pool, options.strategies) if options.use_lexical else None
+    words = lexical.search(queries, index.chunks, options.pool, options.strategies, index.lexicon) if options.use_lexical else None
     hits = boost(fuse(dense, words), queries, index.chunks, options.lang_boost)
     hits = resolve(first_of_passage(hits, options.top_k), index.parents)
     return durable(hits.select("qid", "rank", "chunk_id", "passage_id", "text", "strategy", "lang", F.col("fused").alias("score"), "dense_score", "dense_rank", "lexical_rank"))

@@ -9,6 +9,7 @@ from thornbill import config as K
 from thornbill.functions import text as X
 from thornbill.operators import answer, chunking, evaluate, retrieval
 from thornbill.operators import traces as T
+from thornbill.plans import fixed as L
 from thornbill.plans import sql as Q
 from thornbill.plans import text_queries
 from thornbill.plans.retrieval_queries import _EXTRACT, _HITS, _asked, _index
@@ -145,7 +146,7 @@ def stream_trace_windows(spark: SparkSession, d: str) -> DataFrame:
 
 _T = "t as (select trace_id, r.* from (select trace_id, min_by(struct_pack(query := query, lang := lang, stt_confidence := stt_confidence, timings := timings, total_ms := total_ms, budget_ms := budget_ms, path := path, refused := refused, asked_at := asked_at), (logged_at, asked_at)) r from traces group by trace_id))"
 _P = lambda p: f"round(list_sort(list(total_ms))[round_even({p}::double * (count(*) - 1), 0)::int + 1], 6) p{round(p * 100)}"
-_PCT = ", ".join(_P(p) for p in K.PERCENTILES) + ", count(*) n, round_even(avg(total_ms), 2) mean"
+_PCT = ", ".join(_P(p) for p in L.PERCENTILES) + ", count(*) n, round_even(avg(total_ms), 2) mean"
 _QU = lambda v: f"count(*) n, round(list_sort(list({v}))[1], 6) min_value, round(list_sort(list({v}))[count(*) // 10 + 1], 6) p10_value, round(list_sort(list({v}))[count(*) // 2 + 1], 6) p50_value, round(list_sort(list({v}))[floor(count(*) * 0.9::double)::int + 1], 6) p90_value, round(list_sort(list({v}))[-1], 6) max_value"
 _SRC = f"""{Q.P}, a as (select split_part(passage_id, '-', 1)::bigint query_id, split_part(passage_id, '-', 2) tag, case when split_part(passage_id, '-', 3) = 'g' then 1 else 0 end sel, text from p where regexp_matches(passage_id, '^[0-9]+-[a-z]+-[gd]$')),
 e as (select query_id, min_by(query, eval_id) query, min_by(struct_pack(a := gold_answer), eval_id).a answer from eval_set group by query_id),
@@ -185,7 +186,7 @@ ORACLES = {
     "index_health": f"with {Q.C} select strategy, count(*) chunks, count(distinct passage_id) passages from c group by strategy",
     "recall_mrr": f"{_GOLD} select count(*) n, round(avg(case when r <= 5 then 1.0::double else 0.0 end), 6) recall_at_5, round(avg(case when r <= 10 then 1.0::double / r else 0.0 end), 6) mrr_at_10 from gr",
     "gold_hits": f"{_GOLD} select qid, coalesce(r, 0) gold_rank from gr",
-    "ablation_arms": f"with {Q.C}, {Q.Q}, {Q.DENSE}, {Q.BM25}, w6 as (select qid, chunk_id, s, i.strategy, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 r0 from bm join i using (chunk_id) qualify r0 < 240) " + " union all ".join(_arm(*a) for a in K.ARMS),
+    "ablation_arms": f"with {Q.C}, {Q.Q}, {Q.DENSE}, {Q.BM25}, w6 as (select qid, chunk_id, s, i.strategy, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 r0 from bm join i using (chunk_id) qualify r0 < 240) " + " union all ".join(_arm(*a) for a in L.ARMS),
     "calibration_quantiles": f"{_SCORED} select answerable, {_QU('top_score')} from cal group by answerable",
     "calibration_sweep": f"{_SCORED} {_sweep('cal', 'top_score', [0.55, 0.6, 0.65, 0.7, 0.75, 0.8])} union all {_sweep('cal', 'conf', [0.3, 0.4, 0.5, 0.6, 0.7])}",
     "trace_quantiles": f"with {_T} select path, {_QU('total_ms')} from t where total_ms is not null group by path",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,21 +12,28 @@ from thornbill.config import RetrieveOptions
 from thornbill.functions import text as X
 from thornbill.functions import vectors as V
 from thornbill.operators import answer, domain, lexical, retrieval
+from thornbill.plans import fixed as L
 from thornbill.plans import sql as Q
 from thornbill.plans.text_queries import _contentless, _unsafe
 from thornbill.sources import corpus
-from thornbill.tables import table
+from thornbill.tables import ensure_checkpoint_dir, kept, table, version, written
 
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    """The delivered chunks that are indexed, once each; read for statistics and again for postings."""
-    return corpus.chunk_table(spark, d).where("strategy <> 'C3P'").select("chunk_id", "text", "strategy").persist()
+    """The delivered chunks that are indexed, once each."""
+    return corpus.chunk_table(spark, d).where("strategy <> 'C3P'").select("chunk_id", "text", "strategy")
 
 
 def _index(spark: SparkSession, d: str) -> retrieval.Index:
-    """The index of the delivered chunks; its vectors are used by several stages and kept."""
-    index = retrieval.index_of(corpus.chunk_table(spark, d))
-    return retrieval.Index(index.chunks.persist(), index.parents.persist(), index.embedder)
+    """The index of the delivered chunks, written to the shared folder when a session first needs it and read from then on."""
+
+    def build() -> retrieval.Index:
+        path = f"{ensure_checkpoint_dir(spark)}/tables/index-{uuid.uuid4().hex}"
+        written(spark, path)
+        retrieval.save(retrieval.index_of(corpus.chunk_table(spark, d)), path)
+        return retrieval.load(spark, path)
+
+    return kept(spark, ("index", d, version(spark, f"{d}/chunks.parquet")), build)
 
 
 def bm25_doc_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +46,14 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.search(corpus.search_queries(spark, d), _indexed(spark, d), K.POOL)
+    index = _index(spark, d)
+    hits = lexical.search(corpus.search_queries(spark, d), index.chunks, K.POOL, lex=index.lexicon)
     return hits.select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_strategy_overfetch(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.search(corpus.search_queries(spark, d), _indexed(spark, d), K.POOL, ("C2",))
+    index = _index(spark, d)
+    hits = lexical.search(corpus.search_queries(spark, d), index.chunks, K.POOL, ("C2",), index.lexicon)
     return hits.select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -72,7 +83,7 @@ def _ranks() -> list:
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     q, index = corpus.search_queries(spark, d), _index(spark, d)
-    f = retrieval.fuse(retrieval.dense_search(q, index, K.POOL), lexical.search(q, index.chunks, K.POOL))
+    f = retrieval.fuse(retrieval.dense_search(q, index, K.POOL), lexical.search(q, index.chunks, K.POOL, lex=index.lexicon))
     return f.select("qid", "chunk_id", *_ranks(), F.round("fused", 9).alias("fused"))
 
 
@@ -104,15 +115,13 @@ def resolve_question(spark: SparkSession, d: str) -> DataFrame:
 
 def extract_answer(spark: SparkSession, d: str) -> DataFrame:
     q, hits, index = _hits(spark, d)
-    return answer.extract(q, hits, index.embedder).select("qid", "answer", F.round("confidence", 6).alias("confidence"), "passage_id", "excerpt")
+    return answer.extract(q, hits, index.embedder, index.sentences).select("qid", "answer", F.round("confidence", 6).alias("confidence"), "passage_id", "excerpt")
 
 
 def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     index = _index(spark, d)
     asks = corpus.search_queries(spark, d).select("qid", "query", "lang", F.lit(None).cast("double").alias("stt_confidence"), F.lit(None).cast("string").alias("force_path"))
-    rows = index.chunks.select(F.col("chunk_id").alias("rid"), "vec")
-    centroids = domain.fit(rows, steps=1)
-    responses, _ = answer.ask(asks, index, centroids)
+    responses, _ = answer.ask(asks, index)
     return responses, corpus.search_queries(spark, d)
 
 
@@ -202,21 +211,27 @@ select qid, kept, dropped, text, kept > 0 and dropped <= kept accepted from k"""
     "kmeans_step": f"with {_STEP} select m.cid, n, dim, round(case when l > 0 then e / l else e end, 6) v from m join nn using (cid)",
     "domain_gate": f"with {_STEP}, t as (select cid, list(e / l order by dim) v from m join nn using (cid) group by cid), r as (select vec_id qid, round(max(list_dot_product(u.v, t.v)), 9) s from u, t where vec_id % 20 = 0 group by vec_id) select qid, round(s, 6) similarity, s < 0.3::double off_topic from r",
 }
+def _gate_step(n: int) -> str:
+    """One k-means step over the hashed vectors: from centroids kv{n} (cid, b, w of length one) to kv{n + 1}."""
+    return f"""ks{n} as materialized (select cv.chunk_id, kv{n}.cid, round(sum(cv.v * kv{n}.w) / sqrt(any_value(nn)), 9) s from cv join kv{n} on kv{n}.b = cv.b join cv_n on cv_n.chunk_id = cv.chunk_id group by all),
+ka{n} as materialized (select i.chunk_id, min_by(kc.cid, (-coalesce(s, 0.0), kc.cid)) cid from i cross join kc left join ks{n} on ks{n}.chunk_id = i.chunk_id and ks{n}.cid = kc.cid group by i.chunk_id),
+km{n} as materialized (select cid, b, sum(v / sqrt(nn)) / any_value(m) e from ka{n} join (select cid, count(*) m from ka{n} group by cid) using (cid) join cv using (chunk_id) join cv_n using (chunk_id) group by all),
+kl{n} as (select cid, sqrt(sum(e * e)) l from km{n} group by cid),
+kv{n + 1} as materialized (select cid, b, e / l w from km{n} join kl{n} using (cid) union all select * from kv{n} where cid not in (select cid from ka{n}))"""
+
+
 _GATE = """kc as (select row_number() over (order by chunk_id) - 1 cid, chunk_id from i qualify cid < 16),
-kv as (select cid, b, v / sqrt(nn) w from kc join cv using (chunk_id) join cv_n using (chunk_id)),
-ks as (select cv.chunk_id, kv.cid, sum(cv.v * kv.w) / sqrt(any_value(nn)) s from cv join kv on kv.b = cv.b join cv_n on cv_n.chunk_id = cv.chunk_id group by all),
-ka as (select i.chunk_id, min_by(kc.cid, (-round(coalesce(s, 0.0), 9), kc.cid)) cid from i cross join kc left join ks on ks.chunk_id = i.chunk_id and ks.cid = kc.cid group by i.chunk_id),
-km as (select cid, b, sum(v / sqrt(nn)) e from ka join cv using (chunk_id) join cv_n using (chunk_id) group by all),
-kl as (select cid, sqrt(sum(e * e)) l from km group by cid),
-off as (select qid, round(max(s), 9) sim from (select qv.qid, km.cid, sum(qv.v * km.e) / any_value(l) / sqrt(any_value(nn)) s from qv join km on km.b = qv.b join kl on kl.cid = km.cid join qv_n on qv_n.qid = qv.qid group by all) group by qid)"""
-_SAYS = " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in K.REFUSAL_TEXT.items())
+kv0 as (select cid, b, v / sqrt(nn) w from kc join cv using (chunk_id) join cv_n using (chunk_id)),
+""" + ",\n".join(_gate_step(n) for n in range(12)) + """,
+off as (select qid, round(max(s), 9) sim from (select qv.qid, kv12.cid, sum(qv.v * kv12.w) / sqrt(any_value(nn)) s from qv join kv12 on kv12.b = qv.b join qv_n on qv_n.qid = qv.qid group by all) group by qid)"""
+_SAYS = " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in L.REFUSAL_TEXT.items())
 ORACLES["ask_pipeline"] = f"""{_HITS}, {_EXTRACT}, {_GATE},
 tp as (select qid, round(max(ds), 9) top from hits group by qid),
 st0 as (select q.qid, q.lang, q.query, an.answer, an.confidence, an.passage_id, tp.top,
   case when {_unsafe('q.query')} then 'unsafe' when {_contentless('q.query')} then 'contentless' end guard, coalesce(off.sim, 0) < 0.15::double offt
   from q left join off using (qid) left join tp using (qid) left join an using (qid)),
 st1 as (select *, case when guard is not null then guard when offt then 'off_topic' end early, coalesce(top < 0.70::double, true) weak,
-  coalesce(answer, '') = '' or coalesce(confidence, 0) < 0.70::double or ({' or '.join(f"contains(lower(query), '{x}')" for x in K.SYNTHESIS_CUES)}) or (len({Q.words('lower(query)')}) > 18 and ({' or '.join(f"contains(lower(query), '{x}')" for x in K.CONJUNCTIONS)})) poor from st0),
+  coalesce(answer, '') = '' or coalesce(confidence, 0) < 0.70::double or ({' or '.join(f"contains(lower(query), '{x}')" for x in L.SYNTHESIS_CUES)}) or (len({Q.words('lower(query)')}) > 18 and ({' or '.join(f"contains(lower(query), '{x}')" for x in L.CONJUNCTIONS)})) poor from st0),
 st2 as (select *, coalesce(early, case when weak or poor then 'no_grounding' end) refused from st1)
 select qid, case when refused is null then 'extractive' else 'refusal' end path, refused, case when refused is null then answer else case refused {_SAYS} end end answer,
   case when refused is null then round(confidence, 6) else 0.0 end confidence, case when refused is null then passage_id end passage_id, lang, early is null and not weak and poor escalate from st2"""

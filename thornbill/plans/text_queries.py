@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thornbill import config as K
 from thornbill.functions import text as X
 from thornbill.operators import chunking
+from thornbill.plans import fixed as L
 from thornbill.plans import sql as Q
 from thornbill.sources import corpus
 from thornbill.tables import WS, is_blank, table
@@ -112,7 +113,7 @@ def language_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ASKS = "a as (select trace_id, min_by(struct_pack(query := query, c := stt_confidence), (logged_at, query)) t from traces group by trace_id)"
-_FILL = "[" + ", ".join(f"'{x}'" for x in K.FILLER) + "]"
+_FILL = "[" + ", ".join(f"'{x}'" for x in L.FILLER) + "]"
 
 
 def _contentless(x: str) -> str:
@@ -124,8 +125,8 @@ def _unsafe(x: str) -> str:
     return rf"regexp_matches({x}, '(?i)(^|{Q.OTHER})(kill\s+(myself|yourself)|suicide|make\s+a\s+bomb|child\s+porn)({Q.OTHER}|$)')"
 
 
-_BLOCK = " ".join(f"when unicode(ch) between {lo} and {hi} then '{t}'" for t, lo, hi in K.SCRIPT_BLOCKS)
-_TAGS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in K.SPEECH_TAGS.items()) + "}"
+_BLOCK = " ".join(f"when unicode(ch) between {lo} and {hi} then '{t}'" for t, lo, hi in L.SCRIPT_BLOCKS)
+_TAGS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in L.SPEECH_TAGS.items()) + "}"
 _SEMANTIC = f"""with recursive {Q.P}, {Q.S}, {Q.hashed('sv', 's', 'passage_id, pos', 'sent')},
 sim as (select s.passage_id, s.lang, s.pos, s.sent, coalesce(case when a.nn * b.nn > 0 then (select sum(x.v * y.v) from sv x join sv y on x.passage_id = s.passage_id and y.passage_id = s.passage_id and x.pos = s.pos - 1 and y.pos = s.pos and x.b = y.b)::double / sqrt(a.nn * b.nn) end, 0.0) c
   from s left join sv_n a on a.passage_id = s.passage_id and a.pos = s.pos - 1 left join sv_n b on b.passage_id = s.passage_id and b.pos = s.pos),
@@ -171,7 +172,7 @@ n as (select doc_id, b, count(*) n, min(k) first from l where b is not null grou
 m as (select doc_id, coalesce(max(n) filter (where b = 'latin'), 0) latin, max_by(struct_pack(b := b, n := n), (n, -first)) filter (where b <> 'latin') best from n group by doc_id)
 select d.doc_id, case when m.best.n >= m.latin then m.best.b else 'en' end detected from documents d left join m using (doc_id) where d.text is not null""",
     "sanitize_context": r"select doc_id, md5(regexp_replace(text, '(?i)(ignore\s+(all\s+)?previous\s+instructions|disregard\s+the\s+above|you\s+are\s+now\s+|system\s*:\s*)', '[redacted-instruction] ', 'g')) digest from documents where text is not null",
-    "needs_synthesis": f"""select distinct query, ({' or '.join(f"contains(lower(query), '{x}')" for x in K.SYNTHESIS_CUES)}) or (len({Q.words('lower(query)')}) > 18 and ({' or '.join(f"contains(lower(query), '{x}')" for x in K.CONJUNCTIONS)})) synthesis from traces where query is not null""",
+    "needs_synthesis": f"""select distinct query, ({' or '.join(f"contains(lower(query), '{x}')" for x in L.SYNTHESIS_CUES)}) or (len({Q.words('lower(query)')}) > 18 and ({' or '.join(f"contains(lower(query), '{x}')" for x in L.CONJUNCTIONS)})) synthesis from traces where query is not null""",
     "intent_bonus": f"select eval_id, {Q.bonus('query', 'gold_answer')} bonus from eval_set where query is not null and gold_answer is not null",
     "lexical_overlap": f"select eval_id, round({Q.overlap(Q.toks('query'), 'gold_answer')}, 6) overlap from eval_set where query is not null and gold_answer is not null",
     "sentence_length_filter": f"with {Q.P}, {Q.S} select passage_id, count(*) n from s where len({Q.words('sent')}) between 3 and 80 group by passage_id",

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +43,32 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Removes all that :func:`durable` wrote in this session; whatever was built on it can't be read afterwards."""
+    _kept.clear()
     for path in _written.pop(spark.sparkContext.applicationId, ()):
         _remove(spark, path)
 
 
+def written(spark: SparkSession, path: str) -> None:
+    """Says that a path is this session's, to be removed with it."""
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """Time and size of the files below a path; other content has another version."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(where))
+
+
+def kept(spark: SparkSession, key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` gives, built once for each key and session; for tables that were written and are only read from then on."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+_kept: dict[tuple, object] = {}
 #: What was written, by application; removed when the driver ends.
 _written: dict[str, list[str]] = {}
 
@@ -64,7 +87,7 @@ def durable(df: DataFrame) -> DataFrame:
     Plans built on it read only the columns they use, and see its size."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    written(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
