@@ -49,36 +49,41 @@ def _collected(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["cid"] for r in rows], np.int32), np.array([r["vec"] for r in rows], np.float64).reshape(len(rows), -1 if rows else 1)
 
 
-def step(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``cid, vec, n``: one step: assign, average, normalise. Sums are added up within batches before a row for each batch and
-    centroid is shuffled; a centroid without rows stays as it was."""
-    ids, matrix = _collected(centroids)
+def _step(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centroids after one step and the rows of each. Sums are added up within tasks and then for each centroid and
+    dimension, as many rows as the centroids have numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros_like(matrix), np.zeros(len(matrix), np.int64)
+        sums = np.zeros((len(matrix), matrix.shape[1] + 1))  # the last column counts
         for batch in batches:
             m = _unit(V._matrix(batch.column(0), matrix.shape[1]))
             if len(m):
                 best = np.round(m @ matrix.T, 9).argmax(1)
-                np.add.at(sums, best, m)
-                counts += np.bincount(best, minlength=len(matrix))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(sums)), pa.array(counts)], names=["cid", "sum", "n"])
+                np.add.at(sums, best, np.c_[m, np.ones(len(m))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "v"])
+
+    parts = rows.where(F.col("vec").isNotNull()).select("vec").mapInArrow(run, "at long, v double")
+    total = np.zeros((len(matrix), matrix.shape[1] + 1))
+    for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect():
+        total.flat[r.at] = r.v
+    n = total[:, -1].astype(np.int64)
+    means = total[:, :-1] / np.maximum(n, 1)[:, None]
+    return np.where(n[:, None] > 0, _unit(means), matrix), n
 
-    parts = rows.where(F.col("vec").isNotNull()).select("vec").mapInArrow(run, "cid int, sum array<double>, n long")
-    dims = matrix.shape[1] if len(matrix) else 0
-    total = parts.groupBy("cid").agg(F.sum("n").alias("n"), *(F.sum(F.col("sum")[d]).alias(f"s{d}") for d in range(dims)))
-    mean = F.array(*(F.col(f"s{d}") / F.col("n") for d in range(dims)))
-    joined = total.join(centroids.select("cid", F.col("vec").alias("old")), "cid")
-    return joined.select("cid", F.when(F.col("n") > 0, V.normalise(mean)).otherwise(F.col("old")).alias("vec"), "n")
+
+def step(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``cid, vec, n``: one step: assign, average, normalise; a centroid without rows stays as it was."""
+    ids, matrix = _collected(centroids)
+    after, n = _step(rows, ids, matrix) if len(ids) else (matrix, [])
+    return rows.sparkSession.createDataFrame([(int(i), v.tolist(), int(k)) for i, v, k in zip(ids, after, n)], "cid int, vec array<double>, n long")
 
 
 def fit(rows: DataFrame, k: int = C.CENTROIDS, steps: int = C.KMEANS_STEPS, rid: str = "rid") -> DataFrame:
-    """``cid, vec`` after ``steps`` steps from the smallest ids. Only the centroids come to the driver."""
-    c = seed_centroids(rows, k, rid)
-    for _ in range(steps):
-        done = step(rows, c).select("cid", "vec").collect()  # k rows
-        c = rows.sparkSession.createDataFrame(done, "cid int, vec array<double>")
-    return c
+    """``cid, vec`` after ``steps`` steps from the smallest ids. Only sums of the centroids come to the driver."""
+    ids, matrix = _collected(seed_centroids(rows, k, rid))
+    for _ in range(steps if len(ids) else 0):
+        matrix, _n = _step(rows, ids, matrix)
+    return rows.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, matrix)], "cid int, vec array<double>")
 
 
 def off_topic(queries: DataFrame, centroids: DataFrame, tau: float = C.DOMAIN_TAU) -> DataFrame:

@@ -98,7 +98,7 @@ def best(queries: DataFrame, chunks: DataFrame | Lexicon, k: int, k1: float = C.
     t = durable(t.join(floor, "qid").withColumn("weak", F.sum("most").over(small_first) < F.col("floor")))
     rest = t.groupBy("qid").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("rest"))
     strong = t.where("not weak").join(lex.postings, "term").groupBy("qid", "chunk_id").agg(F.sum(weight).alias("s"))
-    held = durable(strong.join(rest, "qid").where("s + rest >= floor").select("qid", "chunk_id", "s"))
+    held = strong.join(rest, "qid").where("s + rest >= floor").select("qid", "chunk_id", "s")  # its exchange is used twice
     weak = held.select("qid", "chunk_id").join(t.where("weak").select("qid", "term", "m", "idf"), "qid").join(lex.postings, ["term", "chunk_id"])
     more = weak.select("qid", "chunk_id", weight.alias("s"))
     return top(held.unionByName(more).groupBy("qid", "chunk_id").agg(F.sum("s").alias("score")), k)

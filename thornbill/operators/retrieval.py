@@ -125,7 +125,8 @@ def resolve(hits: DataFrame, parents: DataFrame) -> DataFrame:
     """A child becomes its parent, a question the parent of the passage that answers it, where there is one; anything else
     stays. ``strategy``, ``lang`` and ranks remain those of the chunk that matched."""
     p = parents.select(F.col("chunk_id").alias("pid"), F.col("text").alias("ptext"))
-    by_passage = parents.groupBy("passage_id").agg(F.max_by(F.struct("chunk_id", "text"), "chunk_id").alias("q"))
+    asked = hits.where("strategy = 'C5'").select(F.col("answers_passage").alias("passage_id"))
+    by_passage = parents.join(asked, "passage_id", "left_semi").groupBy("passage_id").agg(F.max_by(F.struct("chunk_id", "text"), "chunk_id").alias("q"))
     by_passage = by_passage.select(F.col("passage_id").alias("qp"), F.col("q.chunk_id").alias("qid_"), F.col("q.text").alias("qtext"))
     out = hits.join(p, (F.col("strategy") == "C3") & (F.col("parent_id") == F.col("pid")), "left")
     out = out.join(by_passage, (F.col("strategy") == "C5") & (F.col("answers_passage") == F.col("qp")), "left")
@@ -142,8 +143,9 @@ def retrieve(queries: DataFrame, index: Index, options: RetrieveOptions = Retrie
     """
     dense = dense_search(queries, index, options.pool, options.strategies)
     words = lexical.search(queries, index.chunks, options.pool, options.strategies, index.lexicon) if options.use_lexical else None
-    hits = boost(fuse(dense, words), queries, index.chunks, options.lang_boost)
-    hits = resolve(first_of_passage(hits, options.top_k), index.parents)
+    # A pool a query, then its best: both are written, so that their size is known and no chunk or parent text is shuffled.
+    hits = boost(durable(fuse(dense, words)), queries, index.chunks, options.lang_boost)
+    hits = resolve(durable(first_of_passage(hits, options.top_k)), index.parents)
     return durable(hits.select("qid", "rank", "chunk_id", "passage_id", "text", "strategy", "lang", F.col("fused").alias("score"), "dense_score", "dense_rank", "lexical_rank"))
 
 
