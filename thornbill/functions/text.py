@@ -83,17 +83,17 @@ def needs_synthesis(query: Column, confidence: Column) -> Column:
 
 # What a question asks for, and what shows that a sentence has it.
 _SPACE = f"[{WS}]"
-INTENTS = {
-    "when": ("when|what year|कब|எப்போது", rf"{BORDER}(?:1[5-9]\p{{Nd}}{{2}}|20\p{{Nd}}{{2}}){BORDER}"),
-    "how_many": ("how many|how much|कितन|எவ்வளவு", r"\p{Nd}"),
-    "cost": ("cost|price|salary|कीमत|விலை", rf"[$₹€£]{_SPACE}?\p{{Nd}}|{BORDER}\p{{Nd}}+(?:[.,]\p{{Nd}}+)?{_SPACE}?(?:crore|lakh|million|billion|percent|%)"),
-    "who": ("who|किसने|कौन|யார்", rf"{BORDER}[A-Z][a-z]+{_SPACE}+[A-Z][a-z]+{BORDER}"),
-}
+INTENTS = (
+    ("when|what year|कब|எப்போது", rf"{BORDER}(?:1[5-9]\p{{Nd}}{{2}}|20\p{{Nd}}{{2}}){BORDER}"),
+    ("how many|how much|कितन|எவ்வளவு", r"\p{Nd}"),
+    ("cost|price|salary|कीमत|விலை", rf"[$₹€£]{_SPACE}?\p{{Nd}}|{BORDER}\p{{Nd}}+(?:[.,]\p{{Nd}}+)?{_SPACE}?(?:crore|lakh|million|billion|percent|%)"),
+    ("who|किसने|कौन|யார்", rf"{BORDER}[A-Z][a-z]+{_SPACE}+[A-Z][a-z]+{BORDER}"),
+)
 
 
 def intent_bonus(query: Column, sentence: Column) -> Column:
     """0.08 for each kind of fact that is asked for and found, 0.16 at most."""
-    hits = sum((F.when(query.rlike(rf"(?iu){BORDER}(?:{trigger}){BORDER}") & sentence.rlike(evidence), 1).otherwise(0) for trigger, evidence in INTENTS.values()), F.lit(0))
+    hits = sum((F.when(query.rlike(rf"(?iu){BORDER}(?:{trigger}){BORDER}") & sentence.rlike(evidence), 1).otherwise(0) for trigger, evidence in INTENTS), F.lit(0))
     return F.when(hits >= 2, F.lit(0.16)).when(hits == 1, F.lit(0.08)).otherwise(F.lit(0.0))
 
 
@@ -114,6 +114,11 @@ def cites(answer: Column) -> Column:
     return ~F.contains(answer, F.lit("NOT_IN_CONTEXT")) & answer.rlike(r"\[\p{Nd}+\]")
 
 
+def generated_text(response: Column) -> Column:
+    """The text of a generator's JSON response; null where it has none."""
+    return F.get_json_object(response, "$.candidates[0].content.parts[0].text")
+
+
 def speech_confidence(logprobs: Column, text: Column) -> Column:
     """Mean log-probability plus one, one at most; without any, 1 for a text and 0 for none."""
     n = F.size(logprobs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from thornbill.functions import text as X
 from thornbill.functions import vectors as V
 from thornbill.operators import domain
 from thornbill.operators.retrieval import Index, retrieve
+from thornbill.tables import durable
 
 
 def candidates(hits: DataFrame, most: int = C.MAX_CANDIDATES) -> DataFrame:
@@ -100,6 +102,47 @@ def ask(asks: DataFrame, index: Index, centroids: DataFrame | None = None, optio
     return out, hits
 
 
+# The stages of the pipeline in order; each refusal ends after one of them.
+STAGES = ["guard_input", "lang_detect", "embed", "guard_domain", "retrieve", "extract"]
+
+
+def ask_traced(asks: DataFrame, index: Index, options: RetrieveOptions = RetrieveOptions(), floors: Floors = Floors()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(responses, hits, traces)``: like :func:`ask`, with a trace for every question: ``qid, trace_id`` (12 random hexadecimal
+    digits), ``query, lang, stt_confidence, timings`` (array of ``stage, ms``), ``total_ms, budget_ms, path, refused, asked_at``.
+
+    A batch is measured, not a question: the time of a stage is the batch's by the driver's monotonic clock, shared out among
+    the questions that came to it. The first three stages and the gate run in one pass, the time of which each has a quarter of.
+    """
+    began = time.perf_counter()
+    first = durable(asks.select("qid", X.check_input(F.col("query"), F.col("stt_confidence"), floors.stt).alias("guard"), F.coalesce("lang", X.detect_lang(F.col("query"))).alias("lang")))
+    guards = (time.perf_counter() - began) * 1000
+    began = time.perf_counter()
+    responses, hits = ask(asks, index, None, options, floors)
+    searched = (time.perf_counter() - began) * 1000
+    began = time.perf_counter()
+    responses = durable(responses)
+    answered = (time.perf_counter() - began) * 1000
+    n = responses.agg(F.count(F.lit(1)), F.count_if(~F.coalesce(F.col("refused").isin("low_stt_confidence", "unsafe", "contentless", "off_topic"), F.lit(False)))).first()
+    took = dict.fromkeys(STAGES[:4], guards / 4 / max(1, n[0])) | {"retrieve": searched / max(1, n[1]), "extract": answered / max(1, n[1])}
+    weak = (F.col("refused") == "no_grounding") & (F.coalesce("top_score", F.lit(0.0)) < floors.retrieval)
+    last = F.when(F.col("refused").isin("low_stt_confidence", "unsafe", "contentless"), 1).when(F.col("refused") == "off_topic", 4).when(weak, 5).otherwise(6)
+    every = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(round(took[s], 3)).alias("ms")) for s in STAGES))
+    t = responses.join(asks.select("qid", "query", "stt_confidence"), "qid").join(first.select("qid", F.col("lang").alias("said")), "qid")
+    t = t.withColumn("timings", F.slice(every, F.lit(1), last)).withColumn("total_ms", F.round(F.aggregate("timings", F.lit(0.0), lambda s, x: s + x["ms"]), 3))
+    traces = t.select("qid", F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12).alias("trace_id"), "query", F.coalesce("lang", "said").alias("lang"), "stt_confidence", "timings", "total_ms", F.col("total_ms").alias("budget_ms"), "path", "refused", F.current_timestamp().alias("asked_at"))
+    return responses, hits, traces
+
+
+def decide(queries: DataFrame, given: DataFrame, embedder: V.Embedder | None = None, floors: Floors = Floors()) -> DataFrame:
+    """``qid, text, grounded, confidence, top_score``: answers from given contexts (hits as :func:`retrieval.contexts` makes
+    them). Grounded is what has an answer and reaches both floors; anything else, a question without any context included,
+    gets the refusal."""
+    top = given.groupBy("qid").agg(F.max("score").alias("top_score"))
+    r = queries.select("qid").join(top, "qid", "left").join(extract(queries, given, embedder), "qid", "left")
+    grounded = (F.coalesce("answer", F.lit("")) != "") & (F.coalesce("top_score", F.lit(0.0)) >= floors.retrieval) & (F.coalesce("confidence", F.lit(0.0)) >= floors.extractive)
+    return r.select("qid", F.when(grounded, F.col("answer")).otherwise(C.ADAPTER_REFUSAL).alias("text"), grounded.alias("grounded"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"))
+
+
 #: A generator turns prompts (``qid, prompt``) into texts (``qid, text, provider``).
 Generator = Callable[[DataFrame], DataFrame]
 

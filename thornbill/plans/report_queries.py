@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thornbill import config as K
 from thornbill.functions import text as X
-from thornbill.operators import answer, chunking, evaluate, retrieval
+from thornbill.operators import answer, evaluate, retrieval
 from thornbill.operators import traces as T
 from thornbill.plans import fixed as L
 from thornbill.plans import sql as Q
-from thornbill.plans import text_queries
-from thornbill.plans.retrieval_queries import _EXTRACT, _HITS, _asked, _index
+from thornbill.plans.retrieval_queries import _ASK, _EXTRACT, _HITS, _asked, _index
 from thornbill.plans.text_queries import _contentless, _unsafe
 from thornbill.sources import corpus, sinks
 from thornbill.streaming import traces as streams
-from thornbill.tables import ensure_checkpoint_dir, table
+from thornbill.tables import durable, ensure_checkpoint_dir, table, written
 
 
 def trace_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +85,7 @@ def calibration_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibration_sweep(spark: SparkSession, d: str) -> DataFrame:
-    c = _calibration(spark, d).persist()
+    c = durable(_calibration(spark, d))
     a = evaluate.sweep(c, "top_score", [0.55, 0.6, 0.65, 0.7, 0.75, 0.8])
     return a.unionByName(evaluate.sweep(c, "conf", [0.3, 0.4, 0.5, 0.6, 0.7]))
 
@@ -116,28 +117,81 @@ def anti_seen_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus.first_visits(e, "query_id", ["lang", "eval_id"]).select("query_id", "eval_id", "lang")
 
 
-def adapter_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Answers from contexts that come with the question: the gold answer's passage, given as two texts."""
-    q = corpus.search_queries(spark, d)
+def _given(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All questions with a gold passage, and that passage as their only context; at odd ids it is the second of two."""
+    q = corpus.eval_queries(spark, d)
     p = corpus.passages(spark, d).select(F.col("passage_id").alias("gold"), "text")
-    hits = retrieval.contexts(q.join(p, "gold").select("qid", F.array(F.lit(" "), "text").alias("texts")))
-    return answer.extract(q, hits).select("qid", "answer", F.round("confidence", 6).alias("confidence"), "passage_id")
-
-
-def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of every table of an index, before it was saved and as loaded again."""
-    p = corpus.passages(spark, d)
-    chunks = chunking.build_all(p)
-    tables = {"chunks": chunks, "parents": chunking.parents(p), "sentences": chunking.sentence_table(p)}
-    path = f"{ensure_checkpoint_dir(spark)}/snapshot-{abs(hash(d))}"
-    sinks.save_snapshot(tables, path, {"dim": K.DIMENSIONS})
-    loaded, _ = sinks.load_snapshot(spark, path)
-    one = lambda side: [t.agg(F.lit(k).alias("name"), F.lit(side).alias("side"), F.count(F.lit(1)).alias("n")) for k, t in (tables if side == "saved" else loaded).items()]
-    rows = [*one("saved"), *one("loaded")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    texts = F.when(F.col("qid") % 2 == 0, F.array("text")).otherwise(F.array(F.lit(" "), "text"))
+    return q, retrieval.contexts(q.join(p, "gold").select("qid", texts.alias("texts")))
+
+
+def adapter_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Answers from contexts that come with the question."""
+    return answer.extract(*_given(spark, d)).select("qid", "answer", F.round("confidence", 6).alias("confidence"), "passage_id")
+
+
+def adapter_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Which of these answers stand; questions without any context are refused too."""
+    return answer.decide(*_given(spark, d)).select("qid", "text", "grounded", F.round("confidence", 6).alias("confidence"), F.round("top_score", 6).alias("top_score"))
+
+
+def bench_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation, out-of-scope and unsafe questions asked in one batch: answered, gold passages hit, refused."""
+    return evaluate.bench_report(evaluate.bench_rows(evaluate.bench_questions(corpus.search_queries(spark, d)), _index(spark, d)))
+
+
+def best_arm(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_arm(ablation_arms(spark, d))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    written(spark, path)
+    return path
+
+
+def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Passages written as JSON and read again."""
+    path = _folder(spark, "json")
+    sinks.write_json(corpus.passages(spark, d), path)
+    return corpus.read_corpus_json(spark, path).select("passage_id", F.md5("text").alias("digest"), "lang", F.size("questions").alias("n_questions"))
+
+
+def eval_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation rows written as JSON and read again, with those of a file that isn't there."""
+    path = _folder(spark, "eval")
+    sinks.write_json(table(spark, d, "eval_set").select("query_id", "query", "lang", "gold_passage_id", "gold_answer"), path)
+    e = corpus.read_eval_json(spark, path).unionByName(corpus.read_eval_json(spark, f"{path}-none"))
+    return e.groupBy("query_id", "lang").agg(F.count(F.lit(1)).alias("n"), F.count("gold_answer").alias("answers"), F.max(F.md5("query")).alias("digest"))
+
+
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Latencies of all traces written as CSV and read again, by path."""
+    path = _folder(spark, "csv")
+    sinks.write_csv(corpus.traces(spark, d).select("path", F.round("total_ms", 3).alias("ms")), path)
+    t = spark.read.option("header", True).schema("path string, ms double").csv(path)
+    return t.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ms"), 2).alias("ms"))
+
+
+def score_log(spark: SparkSession, d: str) -> DataFrame:
+    """Scores appended to a log twice and read again: lines by confidence."""
+    path = _folder(spark, "log")
+    pairs = table(spark, d, "eval_set").where("query is not null and gold_answer is not null")
+    rows = pairs.select(F.col("gold_answer").alias("text"), X.overlap(X.tokens(F.col("query")), F.col("gold_answer")).alias("confidence"))
+    sinks.append_scores(rows, path)
+    sinks.append_scores(rows, path)
+    return spark.read.schema("text string, confidence double").json(path).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def language_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each of three languages."""
+    found = corpus.locate_languages(table(spark, d, "passages"), ["en", "hi", "ta"], "lang")
+    return found.select("lang", F.col("file").endswith(".parquet").alias("found"))
+
+
+def column_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The first 256 rows of two columns: only these are read."""
+    return corpus.sample(spark, f"{d}/passages.parquet", ["passage_id", "lang"], 256).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_trace_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +227,9 @@ select q0.qid, min(rank) filter (where z.passage_id = q0.gold and rank <= 10) r
    from (select qid, chunk_id, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 r from sims where {only} qualify r < 40) a full join {lex} b using (qid, chunk_id)) fz join i using (chunk_id) join q on q.qid = fz.qid qualify n = 1)) z on z.qid = q0.qid group by q0.qid)"""
 
 
-ORACLES_COUNTS = text_queries.ORACLES["chunk_union_counts"].split("\nselect strategy")[0] + " select name, side, n from (select 'chunks' name, count(*) n from r union all select 'parents', count(*) from p union all select 'sentences', count(*) from s), (select unnest(['saved', 'loaded']) side)"
+_ADAPTER = f"with {Q.P}, {Q.Q.replace('eval_id % 20 = 0 and ', '')}, hits as (select q.qid, case when q.qid % 2 = 0 then 1 else 2 end as rank, case when q.qid % 2 = 0 then 'ctx-0' else 'ctx-1' end passage_id, p.text from q join p on p.passage_id = q.gold), {Q.hashed('qv', 'q', 'qid', 'query')}, {_EXTRACT}"
+_FIXED = ", ".join(f"({-1 - i}, '{q.replace(chr(39), chr(39) * 2)}', '{lang}', null)" for i, (q, lang) in enumerate(zip([*L.OUT_OF_SCOPE, *L.UNSAFE_QUESTIONS], ["en", "hi", "en", "en", "en", "hi", "en", "ta", "en", "en", "en", "en"])))
+_BENCH = _ASK.replace(Q.Q, Q.Q[:-1] + f" union all select * from (values {_FIXED}) f(qid, query, lang, gold))")
 ORACLES = {
     "trace_percentiles": f"with {_T} select {_PCT} from t where total_ms is not null having count(*) > 0",
     "trace_percentiles_by_group": f"with {_T} select {Q.lang('lang')} lang, path, {_PCT} from t where total_ms is not null group by 1, 2",
@@ -194,8 +250,17 @@ ORACLES = {
     "corpus_harvest": f"with {_SRC} select query_id || '-' || tag || '-g' passage_id, md5(gt) digest, tag lang, case when held or query is null then '' else query end question from h union all select query_id || '-' || tag || '-d', md5(dt), tag, '' from h where dt is not null",
     "harvest_eval_rows": f"with {_SRC} select query_id, query, tag lang, query_id || '-' || tag || '-g' gold_passage_id, answer gold_answer from h where held",
     "anti_seen_ids": "select query_id, min_by(eval_id, (lang, eval_id)) eval_id, min(lang) lang from eval_set group by query_id",
-    "adapter_contexts": f"with {Q.P}, {Q.Q}, hits as (select q.qid, 2 as rank, 'ctx-1' passage_id, p.text from q join p on p.passage_id = q.gold), {Q.hashed('qv', 'q', 'qid', 'query')}, {_EXTRACT} select qid, answer, round(confidence, 6) confidence, passage_id from an",
-    "snapshot_roundtrip": ORACLES_COUNTS,
-    "stream_trace_windows": "with a as (select time_bucket(interval 1 day, asked_at) start, path, total_ms from traces where asked_at is not null) select start as window_start, path, count(*) n, round(sum(coalesce(total_ms, 0)), 3) total from a group by all",
+    "adapter_contexts": f"{_ADAPTER} select qid, answer, round(confidence, 6) confidence, passage_id from an",
+    "adapter_decision": f"{_ADAPTER} select qid, case when g then answer else '{L.ADAPTER_REFUSAL.replace(chr(39), chr(39) * 2)}' end as text, g grounded, round(coalesce(confidence, 0.0), 6) confidence, round(coalesce(top, 0.0), 6) top_score from (select q.qid, answer, confidence, top, coalesce(answer <> '' and top >= 0.7::double and confidence >= 0.7::double, false) g from q left join an using (qid) left join (select qid, 1.0::double / max(rank) top from hits group by qid) using (qid))",
+    "bench_report": f"""{_BENCH} select kind, case when kind = 'eval' then lang else '' end lang, count(*) n, count(*) filter (where refused is null) answered, count(*) filter (where hit) gold_hits, count(*) filter (where refused is not null) refused
+from (select case when st2.qid >= 0 then 'eval' when st2.qid > -11 then 'oos' else 'unsafe' end kind, st2.lang, refused, refused is null and coalesce(st2.passage_id = q.gold or exists (select 1 from hits h where h.qid = st2.qid and h.passage_id = q.gold), false) hit from st2 join q on q.qid = st2.qid) group by 1, 2""",
+    "best_arm": f"with {Q.C}, {Q.Q}, {Q.DENSE}, {Q.BM25}, w6 as (select qid, chunk_id, s, i.strategy, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) - 1 r0 from bm join i using (chunk_id) qualify r0 < 240), arms as (" + " union all ".join(_arm(*a) for a in L.ARMS) + f"), o as (select *, list_position({[a[0] for a in L.ARMS]}, arm) place from arms) select min_by(arm, (-recall_at_5, place)) arm, round((max(recall_at_5) - max(recall_at_5) filter (where place = 1)) / greatest(max(recall_at_5) filter (where place = 1), 1e-9::double), 6) lift from o",
+    "json_roundtrip": f"with {Q.P} select passage_id, md5(text) digest, lang, len(questions)::int n_questions from p",
+    "eval_json_roundtrip": "select query_id, lang, count(*) n, count(gold_answer) answers, max(md5(query)) digest from eval_set group by query_id, lang",
+    "csv_roundtrip": f"with {_T} select path, count(*) n, round(sum(round(total_ms, 3)), 2) ms from t group by path",
+    "score_log": f"select confidence, 2 * count(*) n, (2 * sum(chars))::bigint chars from (select round_even({Q.overlap(Q.toks('query'), 'gold_answer')}, 4) confidence, length(substr(gold_answer, 1, 80)) chars from eval_set where query is not null and gold_answer is not null) group by confidence",
+    "language_files": "select unnest(['en', 'hi', 'ta']) lang, true found",
+    "column_scan": "select least(256, count(*)) n from passages",
+    "stream_trace_windows": "with a as (select time_bucket(interval 1 day, asked_at) start, path, total_ms from (select trace_id, min(asked_at) asked_at, min(path) path, min(total_ms) total_ms from traces group by trace_id) where asked_at is not null) select start as window_start, path, count(*) n, round(sum(coalesce(total_ms, 0)), 3) total from a group by all",
 }
 QUERIES = {k: globals()[k] for k in ORACLES}

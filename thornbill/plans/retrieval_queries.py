@@ -14,6 +14,7 @@ from thornbill.functions import vectors as V
 from thornbill.operators import answer, domain, lexical, retrieval
 from thornbill.plans import fixed as L
 from thornbill.plans import sql as Q
+from thornbill.plans import text_queries
 from thornbill.plans.text_queries import _contentless, _unsafe
 from thornbill.sources import corpus
 from thornbill.tables import ensure_checkpoint_dir, kept, table, version, written
@@ -130,6 +131,54 @@ def ask_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return r.select("qid", "path", "refused", "answer", F.round("confidence", 6).alias("confidence"), "passage_id", "lang", "escalate")
 
 
+def ask_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The traces that the engine writes of its own questions, without times: the stages that each came to."""
+    asks = corpus.search_queries(spark, d).select("qid", "query", "lang", F.lit(None).cast("double").alias("stt_confidence"), F.lit(None).cast("string").alias("force_path"))
+    _, _, t = answer.ask_traced(asks, _index(spark, d))
+    timed = F.forall("timings", lambda x: x["ms"] >= 0) & F.col("trace_id").rlike("^[0-9a-f]{12}$")
+    return t.select("qid", "lang", "path", "refused", F.array_join("timings.stage", ">").alias("stages"), timed.alias("timed"))
+
+
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """An index without its C2 chunks, into which these and longer texts of the C1 chunks are put."""
+    chunks = corpus.chunk_table(spark, d)
+    new = chunks.where("strategy = 'C2'").unionByName(chunks.where("strategy = 'C1'").withColumn("text", F.concat("text", F.lit("!"))))
+    index = retrieval.upsert(retrieval.index_of(chunks.where("strategy <> 'C2'")), new)
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    return index.chunks.select("chunk_id", F.md5("text").alias("digest"), norm.cast("long").alias("norm"))
+
+
+def build_index(spark: SparkSession, d: str) -> DataFrame:
+    """What is indexed when an index is built from passages, by strategy, parents included."""
+    index = retrieval.build_index(corpus.passages(spark, d))
+    c = index.chunks.where(F.size("vec") == K.DIMENSIONS).select("strategy", "text").unionByName(index.parents.select(F.lit("C3P").alias("strategy"), "text"))
+    return c.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """``name, n, same``: the tables of an index as saved and loaded again, and whether they hold what a new index holds."""
+    index = retrieval.index_of(corpus.chunk_table(spark, d))
+    path = f"{ensure_checkpoint_dir(spark)}/tables/snapshot-{uuid.uuid4().hex}"
+    written(spark, path)
+    retrieval.save(index, path)
+    back = retrieval.load(spark, path)
+    p = lexical.postings(index.chunks).select("term", "chunk_id", "tf", "dl")
+    rounded = lambda c: c.select("cid", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    sides = {
+        "chunks": (index.chunks, back.chunks), "parents": (index.parents, back.parents), "postings": (p, back.lexicon.postings), "terms": (lexical.idf(p, back.lexicon.n), back.lexicon.terms),
+        "sentences": (retrieval.sentence_vectors(index.parents), back.sentences), "centroids": (rounded(domain.fit(index.chunks.select(F.col("chunk_id").alias("rid"), "vec"))), rounded(back.centroids)),
+    }
+    out = None
+    for name, (built, loaded) in sides.items():
+        # Equal bags have equal counts and sums of row hashes; one row a side.
+        print_ = lambda t: t.select(F.xxhash64(*sorted(t.columns)).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"))
+        a, b = print_(built), print_(loaded)
+        one = b.select("n", F.col("h").alias("hb")).join(a.select(F.col("n").alias("na"), F.col("h").alias("ha")), F.col("n") == F.col("na"), "left")
+        one = one.select(F.lit(name).alias("name"), "n", F.coalesce(F.col("ha").eqNullSafe(F.col("hb")) & F.col("na").isNotNull(), F.lit(False)).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def groundedness(spark: SparkSession, d: str) -> DataFrame:
     """Gold answers of the query set against the texts that retrieval found."""
     q, hits, index = _hits(spark, d)
@@ -168,8 +217,8 @@ def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
 
 def domain_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    c = domain.fit(rows, steps=1)
-    q = rows.where("rid % 20 = 0").select(F.col("rid").alias("qid"), "vec")
+    c = domain.fit(rows)
+    q = rows.select(F.col("rid").alias("qid"), "vec")
     return domain.off_topic(q, c, tau=0.3).select("qid", F.round("similarity", 6).alias("similarity"), "off_topic")
 
 
@@ -185,6 +234,15 @@ an as (select qid, string_agg(sent, ' ' order by idx) answer, any_value(best) co
 _HITS = "with " + Q.RETRIEVE + ", hits as (select * from re where rank <= 4)"
 _UNIT = "u as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) v from embeddings), k as (select row_number() over (order by vec_id) - 1 cid, v from u qualify cid < 16), a as (select vec_id, min_by(cid, (-round(list_dot_product(u.v, k.v), 9), cid)) cid, any_value(u.v) v from u, k group by vec_id)"
 _STEP = f"{_UNIT}, x as (select cid, vec_id, unnest(v) e, generate_subscripts(v, 1) - 1 dim from a), m as (select cid, dim, sum(e) / count(*) e, count(*) n from x group by cid, dim), nn as (select cid, sqrt(sum(e * e)) l from m group by cid)"
+_STEPS = (
+    "u as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) v from embeddings), k0 as (select row_number() over (order by vec_id) - 1 cid, v from u qualify cid < 16), "
+    + ", ".join(
+        f"a{n} as materialized (select vec_id, min_by(cid, (-round(list_dot_product(u.v, k.v), 9), cid)) cid, any_value(u.v) v from u, k{n} k group by vec_id), "
+        f"m{n} as (select cid, dim, sum(e) / count(*) e from (select cid, unnest(v) e, generate_subscripts(v, 1) dim from a{n}) group by cid, dim), "
+        f"k{n + 1} as materialized (select cid, list(e / l order by dim) v from m{n} join (select cid, sqrt(sum(e * e)) l from m{n} group by cid) using (cid) group by cid union all select cid, v from k{n} where cid not in (select cid from a{n}))"
+        for n in range(12)
+    )
+)
 ORACLES = {
     "bm25_doc_stats": f"with {Q.C}, {Q.Q}, {Q.BM25} select n, round(avgdl, 6) avgdl from st",
     "bm25_idf": f"with {Q.C}, {Q.Q}, {Q.BM25} select term, df, round(idf, 6) idf from idf",
@@ -209,7 +267,7 @@ k as (select qid, count(*) filter (where best >= 0.55::double) kept, count(*) fi
 select qid, kept, dropped, text, kept > 0 and dropped <= kept accepted from k""",
     "kmeans_assign": f"with {_UNIT} select vec_id, cid from a",
     "kmeans_step": f"with {_STEP} select m.cid, n, dim, round(case when l > 0 then e / l else e end, 6) v from m join nn using (cid)",
-    "domain_gate": f"with {_STEP}, t as (select cid, list(e / l order by dim) v from m join nn using (cid) group by cid), r as (select vec_id qid, round(max(list_dot_product(u.v, t.v)), 9) s from u, t where vec_id % 20 = 0 group by vec_id) select qid, round(s, 6) similarity, s < 0.3::double off_topic from r",
+    "domain_gate": f"with {_STEPS}, r as (select vec_id qid, round(max(list_dot_product(u.v, t.v)), 9) s from u, k12 t group by vec_id) select qid, round(s, 6) similarity, s < 0.3::double off_topic from r",
 }
 def _gate_step(n: int) -> str:
     """One k-means step over the hashed vectors: from centroids kv{n} (cid, b, w of length one) to kv{n + 1}."""
@@ -225,14 +283,24 @@ kv0 as (select cid, b, v / sqrt(nn) w from kc join cv using (chunk_id) join cv_n
 """ + ",\n".join(_gate_step(n) for n in range(12)) + """,
 off as (select qid, round(max(s), 9) sim from (select qv.qid, kv12.cid, sum(qv.v * kv12.w) / sqrt(any_value(nn)) s from qv join kv12 on kv12.b = qv.b join qv_n on qv_n.qid = qv.qid group by all) group by qid)"""
 _SAYS = " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in L.REFUSAL_TEXT.items())
-ORACLES["ask_pipeline"] = f"""{_HITS}, {_EXTRACT}, {_GATE},
+_ASK = f"""{_HITS}, {_EXTRACT}, {_GATE},
 tp as (select qid, round(max(ds), 9) top from hits group by qid),
 st0 as (select q.qid, q.lang, q.query, an.answer, an.confidence, an.passage_id, tp.top,
   case when {_unsafe('q.query')} then 'unsafe' when {_contentless('q.query')} then 'contentless' end guard, coalesce(off.sim, 0) < 0.15::double offt
   from q left join off using (qid) left join tp using (qid) left join an using (qid)),
 st1 as (select *, case when guard is not null then guard when offt then 'off_topic' end early, coalesce(top < 0.70::double, true) weak,
   coalesce(answer, '') = '' or coalesce(confidence, 0) < 0.70::double or ({' or '.join(f"contains(lower(query), '{x}')" for x in L.SYNTHESIS_CUES)}) or (len({Q.words('lower(query)')}) > 18 and ({' or '.join(f"contains(lower(query), '{x}')" for x in L.CONJUNCTIONS)})) poor from st0),
-st2 as (select *, coalesce(early, case when weak or poor then 'no_grounding' end) refused from st1)
+st2 as (select *, coalesce(early, case when weak or poor then 'no_grounding' end) refused from st1)"""
+ORACLES["ask_pipeline"] = f"""{_ASK}
 select qid, case when refused is null then 'extractive' else 'refusal' end path, refused, case when refused is null then answer else case refused {_SAYS} end end answer,
   case when refused is null then round(confidence, 6) else 0.0 end confidence, case when refused is null then passage_id end passage_id, lang, early is null and not weak and poor escalate from st2"""
+_TOKENS = "select distinct chunk_id, unnest(" + Q.toks("text") + ") term from i"
+ORACLES |= {
+    "ask_traces": f"""{_ASK}
+select qid, lang, case when refused is null then 'extractive' else 'refusal' end path, refused, array_to_string(['guard_input', 'lang_detect', 'embed', 'guard_domain', 'retrieve', 'extract'][1 : case when guard is not null then 1 when offt then 4 when weak then 5 else 6 end], '>') stages, true timed from st2""",
+    "index_upsert": f"with {Q.C}, u as (select chunk_id, case when strategy = 'C1' then text || '!' else text end as text from i), {Q.hashed('uv', 'u', 'chunk_id', 'text')} select chunk_id, md5(text) digest, coalesce(nn, 0)::bigint norm from u left join uv_n using (chunk_id)",
+    "build_index": text_queries.ORACLES["chunk_union_counts"] + f" union all select 'C3P', count(*), sum(length({Q.clean('text')}))::bigint from p",
+    "snapshot_roundtrip": f"""with {Q.C}, tt as ({_TOKENS}) select 'chunks' as name, count(*) n, true same from i union all select 'parents', count(*), true from c where strategy = 'C3P' union all select 'postings', count(*), true from tt union all select 'terms', count(distinct term), true from tt
+union all select 'sentences', count(*), true from (select distinct passage_id, unnest({Q.sents('text')}) s from c where strategy = 'C3P') union all select 'centroids', least(16, count(*)), true from i""",
+}
 QUERIES = {k: globals()[k] for k in (*ORACLES, "escalation_stub")}

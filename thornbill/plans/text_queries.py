@@ -80,7 +80,7 @@ def sanitize_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def needs_synthesis(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "traces").where("query is not null").select("query").distinct().select("query", X.needs_synthesis(F.col("query"), F.lit(1.0)).alias("synthesis"))
+    return table(spark, d, "traces").where("query is not null").select("query").distinct().select("query", X.needs_synthesis(F.col("query"), F.when(F.length("query") % 3 == 0, 0.1).otherwise(1.0)).alias("synthesis"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -112,6 +112,32 @@ def language_tags(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("code", X.language_tag(F.col("code"), K.SPEECH_TAGS, "en").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def citation_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Which answers may be used as generated ones: every second has a citation, every third denies its context."""
+    text = F.concat("gold_answer", F.when(F.col("eval_id") % 2 == 0, " [2]").otherwise(""), F.when(F.col("eval_id") % 3 == 0, " NOT_IN_CONTEXT").otherwise(""))
+    return _pairs(spark, d).select("eval_id", X.cites(text).alias("usable"))
+
+
+def generated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Answers wrapped as a generator's JSON response and read from it again."""
+    part = F.struct(F.array(F.struct(F.col("gold_answer").alias("text"))).alias("parts"))
+    response = F.to_json(F.struct(F.array(F.struct(part.alias("content"))).alias("candidates")))
+    return _pairs(spark, d).select("eval_id", F.md5(X.generated_text(response)).alias("digest"))
+
+
+def speech_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence from log-probabilities of words, for which the stage times stand in, over all traces."""
+    t = corpus.traces(spark, d).select("trace_id", F.coalesce(F.transform("timings", lambda x: -x["ms"] / 1000), F.array().cast("array<double>")).alias("p"), "query")
+    return t.select("trace_id", F.round(X.speech_confidence(F.col("p"), F.col("query")), 6).alias("confidence"))
+
+
+def dataset_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of dataset language codes, dealt out over the rows of passages; an unknown code has none."""
+    codes = [*sorted(K.DATASET_TAGS), "xxx_None"]
+    p = table(spark, d, "passages").select(F.element_at(F.array(*map(F.lit, codes)), (F.col("row_id") % len(codes) + 1).cast("int")).alias("code"))
+    return p.groupBy("code", X.language_tag(F.col("code"), K.DATASET_TAGS).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _ASKS = "a as (select trace_id, min_by(struct_pack(query := query, c := stt_confidence), (logged_at, query)) t from traces group by trace_id)"
 _FILL = "[" + ", ".join(f"'{x}'" for x in L.FILLER) + "]"
 
@@ -172,11 +198,18 @@ n as (select doc_id, b, count(*) n, min(k) first from l where b is not null grou
 m as (select doc_id, coalesce(max(n) filter (where b = 'latin'), 0) latin, max_by(struct_pack(b := b, n := n), (n, -first)) filter (where b <> 'latin') best from n group by doc_id)
 select d.doc_id, case when m.best.n >= m.latin then m.best.b else 'en' end detected from documents d left join m using (doc_id) where d.text is not null""",
     "sanitize_context": r"select doc_id, md5(regexp_replace(text, '(?i)(ignore\s+(all\s+)?previous\s+instructions|disregard\s+the\s+above|you\s+are\s+now\s+|system\s*:\s*)', '[redacted-instruction] ', 'g')) digest from documents where text is not null",
-    "needs_synthesis": f"""select distinct query, ({' or '.join(f"contains(lower(query), '{x}')" for x in L.SYNTHESIS_CUES)}) or (len({Q.words('lower(query)')}) > 18 and ({' or '.join(f"contains(lower(query), '{x}')" for x in L.CONJUNCTIONS)})) synthesis from traces where query is not null""",
+    "needs_synthesis": f"""select distinct query, ({' or '.join(f"contains(lower(query), '{x}')" for x in L.SYNTHESIS_CUES)}) or (len({Q.words('lower(query)')}) > 18 and ({' or '.join(f"contains(lower(query), '{x}')" for x in L.CONJUNCTIONS)})) or length(query) % 3 = 0 synthesis from traces where query is not null""",
     "intent_bonus": f"select eval_id, {Q.bonus('query', 'gold_answer')} bonus from eval_set where query is not null and gold_answer is not null",
     "lexical_overlap": f"select eval_id, round({Q.overlap(Q.toks('query'), 'gold_answer')}, 6) overlap from eval_set where query is not null and gold_answer is not null",
     "sentence_length_filter": f"with {Q.P}, {Q.S} select passage_id, count(*) n from s where len({Q.words('sent')}) between 3 and 80 group by passage_id",
     "request_validation": f"with a as (select trace_id, min_by(struct_pack(query := query, lang := lang), (logged_at, asked_at)) t from traces group by trace_id) select {Q.lang('t.lang')} lang, count(*) n from a where length(t.query) between 1 and 512 and {Q.not_blank('t.query')} group by all",
     "language_tags": f"with {Q.C}, k as (select lang || '-IN' code from c) select code, coalesce({_TAGS}[code], 'en') tag, count(*) n from k group by all",
 }
+_CODES = "[" + ", ".join(f"'{k}'" for k in [*sorted(L.DATASET_TAGS), "xxx_None"]) + "]"
+ORACLES |= {
+    "citation_filter": "select eval_id, eval_id % 3 <> 0 and not contains(gold_answer, 'NOT_IN_CONTEXT') and (eval_id % 2 = 0 or regexp_matches(gold_answer, '\\[[0-9]+\\]')) usable from eval_set where query is not null and gold_answer is not null",
+    "generated_texts": "select eval_id, md5(gold_answer) digest from eval_set where query is not null and gold_answer is not null",
+    "speech_confidence": "with t as (select trace_id, min_by(struct_pack(query := query, timings := timings), (logged_at, asked_at)) r from traces group by trace_id), k as (select trace_id, list_transform(coalesce(r.timings, []), lambda x: -x.ms / 1000) p, r.query from t) select trace_id, round(case when len(p) > 0 then least(1.0::double, list_sum(p) / len(p) + 1) when coalesce(query, '') <> '' then 1.0 else 0.0 end, 6) confidence from k",
+    "dataset_tags": f"select code, {'map {' + ', '.join(f"'{k}': '{v}'" for k, v in L.DATASET_TAGS.items()) + '}'}[code] tag, count(*) n from (select {_CODES}[row_id % 15 + 1] code from passages) group by all",
+}
 QUERIES = {k: globals()[k] for k in ORACLES}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from thornbill import config as C
-from thornbill.tables import ensure_checkpoint_dir, table
+from thornbill.tables import ensure_checkpoint_dir, is_folder, table, written
 
 
 def read_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
     """The traces as a file stream, a few files at a time."""
     schema = table(spark, sf_dir, "traces").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet")
-    path = Path(f"{sf_dir}/traces.parquet")
-    return source.parquet(str(path) if path.is_dir() else str(path.parent / "traces.parque[t]"))
+    return source.parquet(f"{sf_dir}/traces.parquet" if is_folder(spark, f"{sf_dir}/traces.parquet") else f"{sf_dir}/traces.parque[t]")
 
 
 def windows(traces: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
-    """``window_start, path, n, total`` by event time. With ``late``, a watermark lets a window close and drop later entries;
-    without, every entry counts however late it is."""
+    """``window_start, path, n, total`` by event time, an entry delivered twice counted once. With ``late``, a watermark lets a
+    window close and drop later entries, and bounds what is remembered; without, every entry counts however late it is, and
+    all trace_ids are remembered."""
     if late:
-        traces = traces.withWatermark("asked_at", late)
+        traces = traces.withWatermark("asked_at", late).dropDuplicatesWithinWatermark(["trace_id"])
+    else:
+        traces = traces.dropDuplicates(["trace_id"])
     w = traces.where("asked_at is not null").groupBy(F.window("asked_at", width).alias("w"), "path")
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("total_ms", F.lit(0.0))).alias("total")).select(F.col("w.start").alias("window_start"), "path", "n", "total")
 
@@ -35,6 +36,7 @@ def windows(traces: DataFrame, width: str = "1 day", late: str | None = None) ->
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All traces run through the stream once, the last state of every window written to the shared folder and read again."""
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    written(spark, base)
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/result")
@@ -63,5 +65,15 @@ def last_entries(traces: DataFrame, n: int = C.RING, key: str = "path") -> DataF
         state.update((kept["trace_id"].tolist(), [t.to_pydatetime() for t in kept["asked_at"]], kept["total_ms"].tolist()))
         yield kept.assign(**{key: group[0]})[[key, "trace_id", "asked_at", "total_ms"]]
 
+    def latest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each key the last ``n`` of one task, so that no key has more than that from each in the shuffle."""
+        kept = None
+        for batch in batches:
+            kept = batch if kept is None else pd.concat([kept, batch])
+            kept = kept.drop_duplicates([key, "trace_id"]).sort_values(["asked_at", "trace_id"], ascending=False).groupby(key).head(n)
+        if kept is not None:
+            yield kept
+
     rows = traces.where(F.col(key).isNotNull() & F.col("asked_at").isNotNull()).select(key, "trace_id", "asked_at", "total_ms")
+    rows = rows.mapInPandas(latest, f"`{key}` string, trace_id string, asked_at timestamp, total_ms double")
     return rows.groupBy(key).applyInPandasWithState(update, out, held, "update", GroupStateTimeout.NoTimeout)

@@ -37,8 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _path(spark, path)
+    fs.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -53,10 +53,24 @@ def written(spark: SparkSession, path: str) -> None:
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _path(spark, path)
+    return fs.exists(where)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, where = _path(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def version(spark: SparkSession, path: str) -> tuple:
     """Time and size of the files below a path; other content has another version."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, where = _path(spark, path)
     return tuple((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(where))
 
 
