@@ -209,3 +209,104 @@ def test_files(spark, tmp_path):
     assert corpus.locate_languages(spark.read.parquet(str(tmp_path / "langs")), ["hi"]).count() == 1
     with pytest.raises(ValueError):
         corpus.locate_languages(spark.read.parquet(str(tmp_path / "langs")), ["hi", "ta"])
+
+
+def brute_corpus(rows, languages, n_rows, n_eval):
+    """The rule of a corpus build, row by row."""
+    seen, passages, evals = set(), [], []
+    for no, lang in enumerate(languages):
+        ps, ev = [], []
+        for r in sorted((r for r in rows if r[1] == lang), key=lambda r: r[0]):
+            if r[0] in seen:
+                continue
+            seen.add(r[0])
+            sel = r[6][0]
+            if 1 not in sel:
+                continue
+            g, d = sel.index(1), next((i for i, x in enumerate(sel) if not x), None)
+            held = len(ev) < n_eval
+            tag = {"hin_Deva": "hi"}.get(lang, lang)
+            for wanted, query, said, texts, t, most in ((True, r[2], r[3], r[6][1], tag, n_rows), (no == 0, r[4], r[5], r[6][2], "en", 2 * n_rows)):
+                if wanted and len(ps) < most:
+                    ps.append((f"{r[0]}-{t}-g", texts[g], t, () if held or query is None else (query,)))
+                    if d is not None:
+                        ps.append((f"{r[0]}-{t}-d", texts[d], t, ()))
+                    if len(ev) < n_eval and said:
+                        ev.append((r[0], query, t, f"{r[0]}-{t}-g", said))
+        passages += ps
+        evals += ev
+    return sorted(passages), sorted(evals)
+
+
+@pytest.mark.parametrize("n_rows, n_eval", [(3, 2), (6, 5), (7, 0), (100, 100)])
+def test_corpus_build_in_order(spark, n_rows, n_eval):
+    r = random.Random(3)
+    rows = []
+    for lang in ("hin_Deva", "xx"):
+        for q in r.sample(range(30), 18):
+            n = r.randint(1, 3)
+            sel = [r.choice([0, 0, 1]) for _ in range(n)]
+            rows.append((q, lang, f"q{q}", r.choice([None, "", f"a{q}"]), f"e{q}", r.choice([None, f"b{q}"]), (sel, [f"{lang}{q}{i}" for i in range(n)], [f"en{q}{i}" for i in range(n)])))
+    src = spark.createDataFrame(rows, "query_id long, target_lang string, query string, answer string, eng_query string, eng_answer string, passages struct<is_selected:array<int>,texts:array<string>,english:array<string>>")
+    p, e = corpus.build_corpus(src, ["hin_Deva", "xx"], n_rows, n_eval)
+    got = sorted((x.passage_id, x.text, x.lang, tuple(x.questions)) for x in p.collect()), sorted(map(tuple, e.collect()))
+    assert got == brute_corpus(rows, ["hin_Deva", "xx"], n_rows, n_eval)
+
+
+def test_pruned_search_is_exact(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choices(words, weights=[40 // (i + 1) + 1 for i in range(40)], k=r.randint(1, 30))) for _ in range(400)] + ["", "w0 " * 50]
+    chunks = spark.createDataFrame([(f"c{i:03}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    q = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(1, 6)))) for i in range(30)] + [(90, "nothing here"), (91, "")], "qid int, query string")
+    lex = lexical.lexicon(chunks)
+    for k in (1, 7):
+        rows = lambda df: sorted((x.qid, x.rank, x.chunk_id, round(x.score, 8)) for x in df.collect())
+        assert rows(lexical.best(q, lex, k)) == rows(lexical.top(lexical.score(q, chunks), k))
+    assert lexical.best(q.limit(0), lex, 3).count() == 0 and lexical.best(q, lexical.lexicon(chunks.limit(0)), 3).count() == 0
+
+
+def test_stored_index_and_known_sentences(spark, tmp_path):
+    index = retrieval.build_index(corpus.demo_corpus(spark))
+    retrieval.save(index, str(tmp_path / "i"), steps=2)
+    back = retrieval.load(spark, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "when was the oldest mill built", "en")], "qid int, query string, lang string")
+    hits = [sorted(map(tuple, retrieval.retrieve(q, i).collect())) for i in (index, back)]
+    assert hits[0] == hits[1] and back.tau == index.tau and back.centroids.count() > 0
+    made = []
+
+    def counting(texts):
+        made.extend(texts)
+        return V.hash_embedder()(texts)
+
+    c = answer.candidates(retrieval.retrieve(q, index))
+    known = back.sentences.where("sent not like 'It still%'")
+    got, new = (sorted((r.idx, tuple(r.svec)) for r in answer.with_vectors(c, None, k).collect()) for k in (known, None))
+    assert got == new
+    assert not answer.with_vectors(c, counting, back.sentences).where("svec is null").count()
+    more = spark.createDataFrame([("new", "p9", "a quiet canal", "C2", "en", 0, None, None)], "chunk_id string, passage_id string, text string, strategy string, lang string, position int, parent_id string, answers_passage string")
+    one = retrieval.upsert(retrieval.index_of(more), more.withColumn("text", F.lit("a loud canal")))
+    assert [r.text for r in one.chunks.collect()] == ["a loud canal"]
+
+
+def test_bench_run_and_reports(spark):
+    index = retrieval.build_index(corpus.demo_corpus(spark))
+    evals = spark.createDataFrame([(1, "when was the oldest mill built", "en", "demo-1"), (2, "how long does the ferry take", "en", "demo-3")], "qid long, query string, lang string, gold string")
+    assert evaluate.bench_questions(evals, 1).where("kind = 'eval'").count() == 1
+    rows = evaluate.bench_rows(evaluate.bench_questions(evals), index)
+    got = {(r.kind, r.lang): (r.n, r.refused) for r in evaluate.bench_report(rows).collect()}
+    assert got["unsafe", ""] == (2, 2) and got["oos", ""][0] == 10 and got["eval", "en"][0] == 2
+    text = evaluate.bench_markdown(rows)
+    assert "- Unsafe: 2/2" in text and "- en: P50" in text
+    arms = spark.createDataFrame([("a", 2, 0.5, 0.4, 1.0), ("b", 2, 0.75, 0.5, 2.0)], "arm string, n int, recall_at_5 double, mrr_at_10 double, p50_ms double")
+    text = evaluate.ablation_markdown(arms, [("a", None, False), ("b", None, True)])
+    assert "| b | **0.750** | 0.500 | 2.0 ms |" in text and "+50 %" in text
+
+
+def test_decision_floors(spark):
+    q = spark.createDataFrame([(1, "when was the oldest mill built"), (2, "when was the oldest mill built"), (3, "x y")], "qid int, query string")
+    text = "When was the oldest mill built."
+    given = retrieval.contexts(spark.createDataFrame([(1, [text]), (2, [" ", text])], "qid int, texts array<string>"))
+    got = {r.qid: (r.grounded, r.text) for r in answer.decide(q, given).collect()}
+    refusal = "I don't have enough grounded context to answer that."
+    assert got == {1: (True, text), 2: (False, refusal), 3: (False, refusal)}

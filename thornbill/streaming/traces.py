@@ -26,9 +26,8 @@ def windows(traces: DataFrame, width: str = "1 day", late: str | None = None) ->
     window close and drop later entries, and bounds what is remembered; without, every entry counts however late it is, and
     all trace_ids are remembered."""
     if late:
-        traces = traces.withWatermark("asked_at", late).dropDuplicatesWithinWatermark(["trace_id"])
-    else:
-        traces = traces.dropDuplicates(["trace_id"])
+        traces = traces.withWatermark("asked_at", late)
+    traces = traces.dropDuplicatesWithinWatermark(["trace_id"]) if late and traces.isStreaming else traces.dropDuplicates(["trace_id"])
     w = traces.where("asked_at is not null").groupBy(F.window("asked_at", width).alias("w"), "path")
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("total_ms", F.lit(0.0))).alias("total")).select(F.col("w.start").alias("window_start"), "path", "n", "total")
 
