@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,53 @@ def test_decision_floors(spark):
     got = {r.qid: (r.grounded, r.text) for r in answer.decide(q, given).collect()}
     refusal = "I don't have enough grounded context to answer that."
     assert got == {1: (True, text), 2: (False, refusal), 3: (False, refusal)}
+
+
+def test_search_without_stored_postings(spark, monkeypatch):
+    """Chunks are scanned for words: the list of all scores, ties included, with nothing written and queries in blocks."""
+    texts = ["a b c", "a a b", "b", "", None, "c c c d", "a b c", "x y z"] * 5
+    chunks = spark.createDataFrame([(f"c{i:02d}", t) for i, t in enumerate(texts)], "chunk_id string, text string").repartition(3)
+    q = spark.createDataFrame([(1, "a b b"), (2, "d"), (3, "nothing here"), (4, "C x")], "qid int, query string")
+    rows = lambda df: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want = {k: rows(lexical.top(lexical.score(q, chunks), k)) for k in (1, 3, 50)}
+    monkeypatch.setattr(lexical, "durable", lambda df: pytest.fail("written"))
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    for k, expected in want.items():
+        assert rows(lexical.best(q, chunks, k)) == expected
+    assert lexical.best(q.limit(0), chunks, 3).count() == 0 and lexical.best(q, chunks.limit(0), 3).count() == 0
+
+
+def test_best_of_batches():
+    """Kept over batches of any size: the best by rounded score, ties by id, also where most rows tie."""
+    rng = np.random.default_rng(5)
+    score = np.round(rng.random((900, 6)), 2)
+    score[:, 4], score[:, 5] = 0.0, rng.random(900)
+    ids = np.array([f"r{i}" for i in rng.permutation(900)], dtype=object)
+    for k, step in ((1, 7), (5, 64), (40, 300), (1000, 900)):
+        best = V.Best(k, 6)
+        for i in range(0, 900, step):
+            best.add(ids[i : i + step], score[i : i + step])
+        held, query, value = best.held()
+        for c in range(6):
+            want = sorted((-round(s, 9), x) for s, x in zip(score[:, c], ids))[:k]
+            assert sorted((-round(s, 9), x) for s, x in zip(value[query == c], held[query == c])) == want
+
+
+def test_chunks_once_and_index_without_postings(spark, tmp_path, monkeypatch):
+    """Only chunks delivered several times are shuffled; the queries' index has what is read of it alone."""
+    from thornbill import tables
+    from thornbill.plans.retrieval_queries import _index
+
+    row = lambda i, p, t, lang, s="C1": (i, p, t, s, lang, 0, None, None)
+    rows = [row("a", "p1", "one two", "en-IN"), row("b", "p1", "three", None), row("a", "p1", "one two", None), row("a", "p0", "other", "HI"), row(None, "p", "x", "en"), row("c", "p", None, "en"), row("d", "p1", "whole", "en", "C3P")]
+    spark.createDataFrame(rows, "chunk_id string, passage_id string, text string, strategy string, lang string, position int, parent_id string, answers_passage string").write.parquet(str(tmp_path / "chunks.parquet"))
+    want = sorted(map(str, corpus.chunk_table(spark, str(tmp_path)).collect()))
+    assert len(want) == 3 and sorted(map(str, corpus.chunks_once(spark, str(tmp_path)).collect())) == want
+    monkeypatch.setattr(corpus, "SENT", 0)
+    assert sorted(map(str, corpus.chunks_once(spark, str(tmp_path)).collect())) == want
+    index = _index(spark, str(tmp_path))
+    assert (index.lexicon, index.sentences, index.centroids) == (None, None, None) and index.chunks.count() == 2
+    few = tables.durable(index.chunks.select("chunk_id").limit(1))
+    assert tables.among(index.chunks, "chunk_id", few).count() == 1
+    monkeypatch.setattr(tables, "SENT", 0)
+    assert tables.among(index.chunks, "chunk_id", few).count() == 2
