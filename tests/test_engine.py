@@ -361,3 +361,21 @@ def test_chunks_once_and_index_without_postings(spark, tmp_path, monkeypatch):
     assert tables.among(index.chunks, "chunk_id", few).count() == 1
     monkeypatch.setattr(tables, "SENT", 0)
     assert tables.among(index.chunks, "chunk_id", few).count() == 2
+
+
+def test_scores_in_single_precision_only_prune():
+    """What is kept has exact cosines and the order by them, zeros and equal rows included."""
+    rng = np.random.default_rng(7)
+    m = rng.integers(-2, 3, (600, 16)).astype(float)
+    m[:20], m[300:400] = 0, m[100:200]
+    q = m[[0, 30, 150, 500]]
+    lengths, ids = (q * q).sum(1), np.array([f"r{i}" for i in rng.permutation(600)], dtype=object)
+    best = V.Best(25, 4)
+    for i in range(0, 600, 70):
+        x = m[i : i + 70]
+        s = (x * x).sum(1)
+        best.add(ids[i : i + 70], V._short(x, s) @ V._short(q, lengths).T, lambda row, query, x=x, s=s: V._cosines(x, s, q, lengths, row, query))
+    held, query, value = best.held()
+    for c in range(4):
+        score = [a @ q[c] / math.sqrt((a @ a) * lengths[c]) if (a @ a) * lengths[c] > 0 else 0.0 for a in m]
+        assert sorted((-round(v, 9), i) for v, i in zip(value[query == c], held[query == c])) == sorted((-round(v, 9), i) for v, i in zip(score, ids))[:25]
