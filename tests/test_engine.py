@@ -379,3 +379,15 @@ def test_scores_in_single_precision_only_prune():
     for c in range(4):
         score = [a @ q[c] / math.sqrt((a @ a) * lengths[c]) if (a @ a) * lengths[c] > 0 else 0.0 for a in m]
         assert sorted((-round(v, 9), i) for v, i in zip(value[query == c], held[query == c])) == sorted((-round(v, 9), i) for v, i in zip(score, ids))[:25]
+
+
+def test_ablation_asks_no_longer_list_than_its_arms(spark, monkeypatch):
+    """The lexical list is lengthened only for an arm that filters it, and not made where no arm reads it."""
+    index = retrieval.build_index(corpus.demo_corpus(spark))
+    q = spark.createDataFrame([(1, "oldest mill built", "en", "demo-1")], "qid int, query string, lang string, gold string")
+    asked, best = [], lexical.best
+    monkeypatch.setattr(lexical, "best", lambda queries, chunks, k, *x: asked.append(k) or best(queries, chunks, k, *x))
+    for arms in ([("a", ["C2"], False)], [("a", None, True)], [("a", ["C2"], True)]):
+        r = evaluate.ablation(q, index, arms).first()
+        assert (r.arm, r.n, r.recall_at_5, r.mrr_at_10) == ("a", 1, 1.0, 1.0)
+    assert asked == [40, 240]
