@@ -1,6 +1,8 @@
 """Chunking, retrieval, answering, traces and evaluation on small fixtures."""
 
+import glob
 import math
+import os
 import random
 
 import numpy as np
@@ -391,3 +393,27 @@ def test_ablation_asks_no_longer_list_than_its_arms(spark, monkeypatch):
         r = evaluate.ablation(q, index, arms).first()
         assert (r.arm, r.n, r.recall_at_5, r.mrr_at_10) == ("a", 1, 1.0, 1.0)
     assert asked == [40, 240]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("name", ["extract_answer"])
+def test_disk_of_searches(spark, tmp_path, name):
+    """What a search stores and shuffles, the build of its index included, stays under four times the tables it reads."""
+    from thornbill import tables
+    from thornbill.plans.catalogue import QUERIES
+
+    read = [f"/root/testdata/sf0.01/{t}.parquet" for t in ("chunks", "eval_set")]
+    for f in read:
+        os.symlink(f, tmp_path / os.path.basename(f))  # another path, so that the index is built here
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before, had = shuffled(), len(tables._written.get(spark.sparkContext.applicationId, ()))
+    rows = QUERIES[name](spark, str(tmp_path)).collect()
+    new = [p.removeprefix("file:") for p in tables._written[spark.sparkContext.applicationId][had:]]
+    stored = sum(os.path.getsize(f) for p in new for f in glob.glob(f"{p}/**/*.parquet", recursive=True))
+    assert rows and stored
+    assert shuffled() - before + stored < 4 * sum(map(os.path.getsize, read))
