@@ -396,7 +396,7 @@ def test_ablation_asks_no_longer_list_than_its_arms(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["extract_answer", "recall_mrr"])
+@pytest.mark.parametrize("name", ["extract_answer", "recall_mrr", "prompt_build"])
 def test_disk_of_searches(spark, tmp_path, name):
     """What a search stores and shuffles, the build of its index included, stays under four times the tables it reads."""
     from thornbill import tables
